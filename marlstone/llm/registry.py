@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from marlstone.llm.decontam import op9_bm25_block_max
+from marlstone.llm.mixing import op2_pivotal_mix
+from marlstone.llm.quality import op4_tokeniser_fertility
+from marlstone.llm.sharding import op6_hypergeometric_shards
 from marlstone.llm.simhash import op5_simhash_golay
+from marlstone.llm.substrings import op3_super_kmers
 
 QUERIES = {
+    "op2_pivotal_mix": op2_pivotal_mix,
+    "op3_super_kmers": op3_super_kmers,
+    "op4_tokeniser_fertility": op4_tokeniser_fertility,
     "op5_simhash_golay": op5_simhash_golay,
+    "op6_hypergeometric_shards": op6_hypergeometric_shards,
+    "op9_bm25_block_max": op9_bm25_block_max,
 }
 
 ORACLES: dict[str, str] = {}
