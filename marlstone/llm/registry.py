@@ -8,6 +8,7 @@ from marlstone.llm.quality import op4_tokeniser_fertility
 from marlstone.llm.sharding import op6_hypergeometric_shards
 from marlstone.llm.simhash import op5_simhash_golay
 from marlstone.llm.substrings import op3_super_kmers
+from marlstone.llm.tokenbin import op8_perfect_hash_shards
 
 QUERIES = {
     "op2_pivotal_mix": op2_pivotal_mix,
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_tokeniser_fertility": op4_tokeniser_fertility,
     "op5_simhash_golay": op5_simhash_golay,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
+    "op8_perfect_hash_shards": op8_perfect_hash_shards,
     "op9_bm25_block_max": op9_bm25_block_max,
 }
 
