@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows without an id come after all others.
 NO_ID = 2**63 - 1
+#: A table of so many rows at most may be broadcast.
+SMALL_ROWS = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -97,6 +100,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bounded(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast join if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def unit(*parts: Column | int | str) -> Column:
     """A number in [0, 1) that depends on ``parts`` alone."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]

@@ -5,18 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import dropped, fresh, n_words, staged, table, unit
+from marlstone.llm.common import bind, bounded, fresh, n_words, staged, table, unit
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows that one step of the tree folds; each gives one residual to the next level.
 FAN_IN = 256
-#: A table of so many rows at most may be broadcast.
-SMALL_ROWS = 100_000
-
-
-def bounded(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` marked for a broadcast join if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -43,11 +36,6 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return per.select("source", "source_size", "n_rows", F.least(F.col("weight") * unit_share, most * F.col("source_size")).alias("target"))
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _fold(rows: Column, seed: int) -> Column:
     """Pivotal rounding of an array of structs (doc_id, size, base, p) in its order.
 
@@ -82,7 +70,7 @@ def _fold(rows: Column, seed: int) -> Column:
                 F.array_append(acc["out"], F.when(a_done, settle(a, rise)).otherwise(settle(x, ~rise))).alias("out"),
             )
 
-        return F.when(a.isNull(), F.struct(x.alias("left"), acc["out"].alias("out"))).otherwise(_bind(moves, decide))
+        return F.when(a.isNull(), F.struct(x.alias("left"), acc["out"].alias("out"))).otherwise(bind(moves, decide))
 
     return F.aggregate(rows, start, step)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fresh, ready, staged, table
+from marlstone.llm.common import bounded, fresh, ready, staged, table
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("chars_per_token", "fallback_share", "entropy")
@@ -115,60 +115,57 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(measured: DataFrame, group: Column, width: float = 6.0, fewest: int = 200, floors: tuple[float, ...] = (0.35, 0.02, 0.035)) -> DataFrame:
-    """Bands (grp, measure, low, high), one row for each language and measure.
+def group_of(bins: int = 2) -> Column:
+    """Language (or script, where the language is null) and length class of a document: ``bins`` classes for each doubling of its tokens."""
+    name = F.coalesce(F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.col("script")))
+    return F.concat(name, F.lit("/"), F.floor(bins * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string"))
 
-    The centre is the median over all documents that pass the base rules, and the
-    half width ``width`` times the median distance from it, but not under the
-    measure's floor. A group with under ``fewest`` such documents has none of its
-    own. Values are counted in steps of 1/1000, so the medians are exact, alike
-    in each run, and found on a table that doesn't grow with the corpus. Entropy
-    falls with the length of a text, so its group also holds the power of two
-    below the number of tokens.
+
+def bands(measured: DataFrame, fewest: int = 100, least: tuple[float, ...] = (0.003, 0.0015, 0.0015)) -> DataFrame:
+    """For each group, of each measure the middle (mid_*) and the usual distance from it (away_*).
+
+    The middle is the median over all documents that pass the base rules, the
+    distance the median one from it, but not under ``least``. Short texts vary
+    more and entropy falls with length, so a group holds one language and one
+    length class. A group with under ``fewest`` such documents has no bands. Values
+    are counted in steps of 1/1000, so the medians are exact, alike in each run,
+    and found on a table that doesn't grow with the corpus.
     """
-    long = measured.where(~base_failed()).select(
-        F.explode(F.array(*[F.struct(_group(group, m).alias("grp"), F.lit(m).alias("measure"), F.round(F.col(m) * 1000).cast("long").alias("v")) for m in MEASURES])).alias("x")
-    ).select("x.*")
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * 1000).cast("long").alias("v")) for m in MEASURES])
+    long = measured.where(~base_failed()).select(group_of().alias("grp"), F.explode(values).alias("x")).select("grp", "x.*")
 
     def median(hist: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy("grp", "measure")
-        upto = F.sum("n").over(w.orderBy("v"))
-        return hist.select("grp", "measure", "v", upto.alias("upto"), F.sum("n").over(w).alias("all_n")).where("2 * upto >= all_n").groupBy("grp", "measure").agg(F.min("v").alias(name), F.first("all_n").alias("group_n"))
+        upto = hist.select("grp", "measure", "v", F.sum("n").over(w.orderBy("v")).alias("upto"), F.sum("n").over(w).alias("group_n"))
+        return upto.where("2 * upto >= group_n").groupBy("grp", "measure").agg(F.min("v").alias(name), F.first("group_n").alias("group_n"))
 
     hist = staged(long.groupBy("grp", "measure", "v").agg(F.count("*").alias("n")), "fertility")
-    mid = median(hist, "mid").where(F.col("group_n") >= fewest).select("grp", "measure", "mid")
-    away = hist.join(mid, ["grp", "measure"]).groupBy("grp", "measure", F.abs(F.col("v") - F.col("mid")).alias("v")).agg(F.sum("n").alias("n"))
-    floor = F.element_at(F.create_map(*[F.lit(x) for pair in zip(MEASURES, floors, strict=True) for x in pair]), F.col("measure"))
-    half = F.greatest(width * F.col("away") / 1000, floor)
-    return mid.join(median(away, "away"), ["grp", "measure"]).select("grp", "measure", (F.col("mid") / 1000 - half).alias("low"), (F.col("mid") / 1000 + half).alias("high"))
+    mid = staged(median(hist, "mid").where(F.col("group_n") >= fewest).select("grp", "measure", "mid"), "middles")
+    away = median(hist.join(mid, ["grp", "measure"]).groupBy("grp", "measure", F.abs(F.col("v") - F.col("mid")).alias("v")).agg(F.sum("n").alias("n")), "away")
+    both = mid.join(away, ["grp", "measure"])
+    cols = [F.max(F.when(F.col("measure") == m, F.col(c) / 1000)).alias(f"{c}_{m}") for m in MEASURES for c in ("mid", "away")]
+    out = both.groupBy("grp").agg(*cols)
+    return out.select("grp", *[f"mid_{m}" for m in MEASURES], *[F.greatest(f"away_{m}", F.lit(x)).alias(f"away_{m}") for m, x in zip(MEASURES, least, strict=True)])
 
 
-def _group(group: Column, measure_name: str) -> Column:
-    if measure_name != "entropy":
-        return group
-    return F.concat_ws("/", group, F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string"))
+def judged(measured: DataFrame, width: float = 7.0, joint: float = 9.0) -> DataFrame:
+    """``measured`` with base_failed, outside and kept.
 
+    outside names the measures that lie over ``width`` usual distances from their
+    middle, and "joint" where the distances of chars_per_token and entropy add up
+    to over ``joint``: text of odd spelling loses on both. A document is kept if it
+    passes the base rules and outside is empty; a group without bands rejects none.
+    """
+    limits = bounded(staged(bands(measured), "bands"))
+    out = measured.withColumn("base_failed", base_failed()).withColumn("_grp", group_of()).join(limits.withColumnRenamed("grp", "_of"), F.col("_grp") == F.col("_of"), "left")
+    far = {m: (F.col(m) - F.col(f"mid_{m}")) / F.col(f"away_{m}") for m in MEASURES}
+    odd = [F.when(F.abs(z) > width, F.lit(m)) for m, z in far.items()]
+    odd.append(F.when(F.abs(far["chars_per_token"] + far["entropy"]) > joint, F.lit("joint")))
+    out = out.withColumn("outside", F.array_compact(F.array(*odd)))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0)).drop("_grp", *limits.columns[1:], "_of")
 
-def judged(measured: DataFrame, width: float = 6.0) -> DataFrame:
-    """``measured`` with base_failed, outside (measures out of their band) and kept.
 
-    The group is the language, or the script where the language is null. A
-    document is kept if it passes the base rules and each of its measures that has
-    a band lies within it. The bands are joined to the documents by group, as a
-    table of a few rows for each language; a measure without a band passes.
-    """
-    group = F.coalesce(F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.col("script")))
-    limits = bands(measured, group, width)
-    out = measured.withColumn("base_failed", base_failed())
-    for m in MEASURES:
-        of = limits.where(F.col("measure") == m).select(F.col("grp").alias(f"_{m}_of"), F.col("low").alias(f"_{m}_low"), F.col("high").alias(f"_{m}_high"))
-        out = out.join(of, _group(group, m) == F.col(f"_{m}_of"), "left")
-    odd = F.filter(F.array(*[F.when((F.col(m) < F.col(f"_{m}_low")) | (F.col(m) > F.col(f"_{m}_high")), F.lit(m)) for m in MEASURES]), lambda x: x.isNotNull())
-    out = out.withColumn("outside", odd)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0)).drop(*[f"_{m}_{x}" for m in MEASURES for x in ("of", "low", "high")])
-
-
-def quality(docs: DataFrame, tokeniser: str | None = None, width: float = 6.0) -> DataFrame:
+def quality(docs: DataFrame, tokeniser: str | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, and lang if there is one): counts, measures and verdict.
 
     A null or empty text has no words and fails the base rules. A missing or null
@@ -180,7 +177,7 @@ def quality(docs: DataFrame, tokeniser: str | None = None, width: float = 6.0) -
 
         tokeniser = public_tokenizers.path("piece_bpe_32k.model")
     slim = docs.select("doc_id", "text", (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
-    return judged(staged(measures(slim, tokeniser), "measures"), width)
+    return judged(staged(measures(slim, tokeniser), "measures"))
 
 
 def keep_good(docs: DataFrame, tokeniser: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fresh, staged, table, unit
+from marlstone.llm.common import bind, fresh, staged, table, unit
 
 #: Rows that one local permutation sorts, on average.
 LOCAL_ROWS = 16_384
@@ -49,9 +49,9 @@ def _draw(total: Column, good: Column, picks: Column, u: Column) -> Column:
             aim = b["u"] * (1 + t["up"] + t["down"])
             return F.when(aim < 1, b["mode"]).otherwise(F.coalesce(walk(up, ratio_up, F.lit(1.0), aim)["pick"], walk(down, ratio_down, 1 + t["up"], aim)["pick"], b["mode"]))
 
-        return F.element_at(F.transform(F.array(mass), choose), 1)
+        return bind(mass, choose)
 
-    return F.element_at(F.transform(F.array(bound), inner), 1)
+    return bind(bound, inner)
 
 
 def _split(columns: Column, rows: Column, seed: int, node: Column) -> Column:
@@ -61,7 +61,7 @@ def _split(columns: Column, rows: Column, seed: int, node: Column) -> Column:
 
     def step(acc: Column, good: Column) -> Column:
         got = _draw(acc["n"], good, acc["m"], unit(F.lit(seed), node, F.size(acc["out"])))
-        return F.element_at(F.transform(F.array(got), lambda g: F.struct((acc["n"] - good).alias("n"), (acc["m"] - g).alias("m"), F.array_append(acc["out"], g).alias("out"))), 1)
+        return bind(got, lambda g: F.struct((acc["n"] - good).alias("n"), (acc["m"] - g).alias("m"), F.array_append(acc["out"], g).alias("out")))
 
     return F.aggregate(columns, start, step)["out"]
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import dropped, ready, staged
+from marlstone.llm.common import NO_ID, dropped, fresh, ready, staged, table
 from marlstone.llm.graph import components
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -110,18 +110,18 @@ def _keys(fps: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text, as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, text_hash, fp): the SimHash of every whole text, as a signed long."""
     ready(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], schema=out)
+            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], schema=out)
 
-    return slim.mapInArrow(work, "doc_id long, fp long")
+    return slim.mapInArrow(work, "doc_id long, text_hash long, fp long")
 
 
 def _keyed(fps: DataFrame, wide: bool) -> DataFrame:
@@ -181,8 +181,8 @@ def links(fps: DataFrame, bits: int = 3, hot: int = 1024) -> DataFrame:
     return pairs if extra is None else pairs.unionByName(extra)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, with_hash: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``; ``with_hash`` adds text_hash and group, the least fingerprint of the component.
 
     Equal fingerprints form a class; classes within ``bits`` differing bits are
     linked; component_id is the least doc_id that links reach. A null or empty
@@ -190,19 +190,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, id_col: str
     take part in links but never name a component (null if nothing else does);
     repeated rows come back as often as they went in. An empty table gives no rows.
     """
-    rows = staged(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    rows = staged(fingerprints(docs, words), "fingerprints")
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     tree = components(links(classes, bits))
     named = classes.join(tree, classes["fp"] == tree["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = staged(named.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id"), "class_components")
+    of = staged(named.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id", F.col("root").alias("group")), "class_components")
     dropped(classes)
-    return rows.join(of, rows["fp"] == of["class_fp"]).select("doc_id", "fp", "component_id")
+    return rows.join(of, rows["fp"] == of["class_fp"]).select("doc_id", "fp", "component_id", *["text_hash", "group"] * with_hash)
+
+
+def one_of_each(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) that are first of their group of near-duplicates, with the same columns.
+
+    First is the row of least doc_id, and among equal ones of least text hash; of
+    rows that agree in both, one stays. Rows without a doc_id come last.
+    """
+    groups = staged(near_duplicates(docs.select("doc_id", "text"), words, bits, with_hash=True), "groups")
+    least = groups.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), "text_hash")).alias("m"))
+    kept = least.select(F.col("m.i").alias("_kept_id"), F.col("m.text_hash").alias("_kept_hash"))
+    key, mark = fresh(docs, "dedup_id", "dedup_hash")
+    keyed = docs.withColumn(key, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(mark, F.xxhash64("text"))
+    rows = keyed.join(kept, (F.col(key) == F.col("_kept_id")) & (F.col(mark) == F.col("_kept_hash"))).select(*docs.columns, key, mark)
+    return rows.dropDuplicates([key, mark]).select(*docs.columns)
 
 
 def op5_simhash_golay(spark, sf_dir: str) -> DataFrame:
     """Query: fingerprint and component of every document."""
-    from marlstone.llm.common import table
-
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
