@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bind, bounded, fresh, n_words, staged, table, unit
+from marlstone.llm.common import NO_ID, bind, bounded, fresh, n_words, staged, table, unit
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows that one step of the tree folds; each gives one residual to the next level.
@@ -135,11 +135,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by doc_id and size; those that agree in both share out
     their copies among themselves in any order.
     """
-    size, rank, many = fresh(docs, "mix_size", "mix_rank", "mix_copies")
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_mixed_id"), F.col("size").alias("_mixed_size")).agg(F.sort_array(F.collect_list("copies")).alias(many))
-    rows = docs.withColumn(size, n_words(F.col("text")))
-    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", size).orderBy("doc_id")))
-    both = ranked.join(taken, ranked["doc_id"].eqNullSafe(taken["_mixed_id"]) & (ranked[size] == taken["_mixed_size"]))
+    key, size, rank, many = fresh(docs, "mix_id", "mix_size", "mix_rank", "mix_copies")
+    of = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    taken = mix(docs, **options).groupBy(of.alias("_mixed_id"), F.col("size").alias("_mixed_size")).agg(F.sort_array(F.collect_list("copies")).alias(many))
+    rows = docs.withColumns({key: of, size: n_words(F.col("text"))})
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(key, size).orderBy(key)))
+    both = ranked.join(taken, (F.col(key) == F.col("_mixed_id")) & (F.col(size) == F.col("_mixed_size")))
     n = F.element_at(F.col(many), F.col(rank))
     return both.where(n > 0).withColumn(rank, F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*docs.columns)
 

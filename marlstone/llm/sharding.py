@@ -86,42 +86,54 @@ def matrix(counts: DataFrame, depth: int, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("node").alias("block"), "cells")
 
 
+def places(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(k1, k2, shard, slot) for rows (k1, k2), which may repeat: a uniform shuffle.
+
+    Rows are dealt to blocks by a hash of their key and number; the matrix says how
+    many rows of a block go to each shard; a block's rows, in the order of a second
+    hash, are cut accordingly; and each shard orders its rows by a third hash. Both
+    permutations sort about LOCAL_ROWS rows at a time, however many there are: a
+    shard is ordered in ranges of its hash whose sizes are counted beforehand.
+    """
+    counted = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    slim = staged(counted.select("k1", "k2", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")), "shuffle_rows")
+    n = slim.count()
+    depth = max(0, math.ceil(math.log2(max(1, n / LOCAL_ROWS))))
+    digest = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "k1", "k2", "copy")
+    first = slim.withColumn("block", F.shiftrightunsigned(digest(1), 64 - depth) if depth else F.lit(0).cast("long"))
+    counts = staged(first.groupBy("block").agg(F.count("*").alias("n")), "blocks")
+    empty = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("a"))
+    sums = F.aggregate("cells", empty, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.array_append(acc["a"], acc["s"] + x).alias("a")))["a"]
+    cut = matrix(counts, depth, shards, seed).select("block", sums.alias("cuts"))
+    local = Window.partitionBy("block").orderBy(digest(2), "k1", "k2", "copy")
+    ranked = first.withColumn("rank", F.row_number().over(local)).join(cut, "block")
+    sent = ranked.select("k1", "k2", "copy", F.size(F.filter("cuts", lambda c: c < F.col("rank"))).alias("shard"), F.shiftrightunsigned(digest(3), 11).alias("order"))
+    parts = max(1, math.ceil(n / shards / LOCAL_ROWS))
+    sent = staged(sent.withColumn("part", F.floor(F.col("order").cast("double") / float(1 << 53) * parts).cast("int")), "exchanged")
+    per = sent.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = per.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
+    again = Window.partitionBy("shard", "part").orderBy("order", "k1", "k2", "copy")
+    out = sent.withColumn("rank", F.row_number().over(again)).join(before, ["shard", "part"])
+    return out.select("k1", "k2", "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"))
+
+
 def sharded(docs: DataFrame, shards: int = 40, seed: int = 11, keys: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """``docs`` with shard and slot: a uniform shuffle into shards whose sizes differ by one row at most.
 
-    Rows are dealt to blocks by a hash of ``keys``; the matrix says how many rows
-    of a block go to each shard; a block's rows, in the order of a second hash,
-    are cut accordingly, and each shard orders its rows by a third hash. Slots
-    count from 0 without gaps. Both permutations sort about LOCAL_ROWS rows at a
-    time, whatever the number of rows: a shard is ordered in ranges of its hash
-    whose sizes are counted beforehand.
-
-    Nulls hash like any value; rows that agree in all keys can't be told apart and
-    may swap places; an empty table gives no rows. Columns of ``docs`` that are
-    named shard or slot are replaced.
+    Slots count from 0 without gaps. Places are drawn for two hashes of ``keys``;
+    the rows themselves move once, to meet their places. Rows that agree in all
+    keys get a place each, independently. Nulls hash like any value; an empty table
+    gives no rows. Columns of ``docs`` that are named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
-    block, place, order, part, cells = fresh(docs, "sh_block", "sh_place", "sh_order", "sh_part", "sh_cells")
+    k1, k2, rank, found = fresh(docs, "sh_key", "sh_other", "sh_rank", "sh_places")
     names = [k for k in keys if k in docs.columns]
-    n = docs.count()
-    depth = max(0, math.ceil(math.log2(max(1, n / LOCAL_ROWS))))
-    digest = lambda k: F.xxhash64(F.lit(seed), F.lit(k), *[F.col(c) for c in names])
-    first = docs.withColumn(block, F.shiftrightunsigned(digest(1), 64 - depth) if depth else F.lit(0).cast("long"))
-    counts = staged(first.groupBy(F.col(block).alias("block")).agg(F.count("*").alias("n")), "blocks")
-    cum = matrix(counts, depth, shards, seed).select(
-        F.col("block").alias(f"{block}_of"),
-        F.aggregate("cells", F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("a")), lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.array_append(acc["a"], acc["s"] + x).alias("a")))["a"].alias(cells),
-    )
-    local = Window.partitionBy(block).orderBy(digest(2), *names)
-    cut = first.withColumn(place, F.row_number().over(local)).join(cum, F.col(block) == F.col(f"{block}_of"))
-    sent = cut.withColumn("shard", F.size(F.filter(cells, lambda c: c < F.col(place)))).drop(block, f"{block}_of", place, cells)
-    parts = max(1, math.ceil(n / shards / LOCAL_ROWS))
-    sent = sent.withColumn(order, digest(3)).withColumn(part, F.floor(F.shiftrightunsigned(F.col(order), 11).cast("double") / float(1 << 53) * parts).cast("int"))
-    per = staged(sent.groupBy(F.col("shard").alias("_of_shard"), F.col(part).alias("_of_part")).agg(F.count("*").alias("_rows")), "parts")
-    before = per.withColumn("_before", F.sum("_rows").over(Window.partitionBy("_of_shard").orderBy("_of_part")) - F.col("_rows"))
-    again = Window.partitionBy("shard", part).orderBy(F.shiftrightunsigned(F.col(order), 1), *names)
-    out = sent.withColumn(place, F.row_number().over(again)).join(before, (F.col("shard") == F.col("_of_shard")) & (F.col(part) == F.col("_of_part")))
-    return out.withColumn("slot", (F.col("_before") + F.col(place) - 1).cast("long")).select(*docs.columns, "shard", "slot")
+    keyed = docs.withColumns({k1: F.xxhash64(F.lit(seed), *names), k2: F.xxhash64(F.lit(seed + 1), *names)})
+    drawn = places(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2")), shards, seed)
+    drawn = drawn.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias(found))
+    ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1)))
+    place = F.element_at(F.col(found), F.col(rank))
+    return ranked.join(drawn, (F.col(k1) == F.col("_k1")) & (F.col(k2) == F.col("_k2"))).select(*docs.columns, place["shard"].alias("shard"), place["slot"].alias("slot"))
 
 
 def op6_hypergeometric_shards(spark, sf_dir: str) -> DataFrame:
