@@ -19,7 +19,10 @@ from marlstone.llm.common import ready, table
 #: Punctuation of ASCII reads as a space.
 _PLAIN = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 K1, B = 1.2, 0.75
-BLOCK = 16
+#: Items of a block. A block of few items has a sum of maxima close to its best item's score.
+BLOCK = 4
+#: Cells of the table of passages by blocks that is filled at a time.
+CELLS = 1 << 21
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -78,8 +81,15 @@ class Index:
                 postings[t].append((at, x / own))
         self.items = [[at for at, _ in p] for p in postings]
         self.impacts = [[x for _, x in p] for p in postings]
-        self.block_max = [[max(p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.impacts]
-        self.ceiling = np.array([*(max(p) for p in self.impacts), 0.0])
+        self.block_max = [{} for _ in postings]  # by number of the block: items are in blocks of BLOCK by place
+        for best, items_, impacts in zip(self.block_max, self.items, self.impacts, strict=True):
+            for at, x in zip(items_, impacts, strict=True):
+                best[at // BLOCK] = max(x, best.get(at // BLOCK, 0.0))
+        self.ceiling = [max(p) for p in self.impacts]
+        self.n_blocks = max(1, -(-len(self.ids) // BLOCK))
+        self.offsets = np.concatenate(([0], np.cumsum([len(b) for b in self.block_max]))).astype(np.int64)
+        self.block_of = np.array([k for b in self.block_max for k in b], np.int64)
+        self.max_of = np.array([x for b in self.block_max for x in b.values()])
 
     def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items (place, score) that distinct ``terms`` cover to at least ``threshold``; block-max WAND."""
@@ -100,12 +110,8 @@ class Index:
             while pivot + 1 < len(live) and self.items[live[pivot + 1]][at[live[pivot + 1]]] == item:
                 pivot += 1
             front = live[: pivot + 1]
-            bound, ends = 0.0, []
-            for t in front:
-                k = bisect_left(self.items[t], item, at[t])
-                if k < len(self.items[t]):
-                    bound += self.block_max[t][k // BLOCK]
-                    ends.append(self.items[t][min(len(self.items[t]), (k // BLOCK + 1) * BLOCK) - 1])
+            block = item // BLOCK
+            bound = sum(self.block_max[t].get(block, 0.0) for t in front)
             if bound >= slack:
                 score = 0.0
                 for t in front:
@@ -117,7 +123,7 @@ class Index:
                 if score >= slack:
                     found.append((item, score))
             else:
-                to = min(ends) + 1
+                to = (block + 1) * BLOCK
                 if pivot + 1 < len(live):
                     to = min(to, self.items[live[pivot + 1]][at[live[pivot + 1]]])
                 to = max(to, item + 1)
@@ -126,6 +132,32 @@ class Index:
             live = [t for t in live if at[t] < len(self.items[t])]
         return found
 
+    def promising(self, ids: np.ndarray, threshold: float) -> list[int]:
+        """Numbers of the passages in which some block's maxima, summed over the passage's distinct terms, reach ``threshold``.
+
+        ``ids`` are the numbers of a text's words, -1 for words of no item. Passage k
+        begins at word k * longest and has twice that many words. All passages and
+        blocks are summed together; those left out can't hold an item above it.
+        """
+        step, out = self.longest, []
+        n = max(1, -(-(len(ids) - step) // step))
+        places = np.nonzero(ids >= 0)[0]
+        half, terms = places // step, ids[places].astype(np.int64)
+        size = len(self.items)
+        pairs = np.unique(np.concatenate((half[half < n] * size + terms[half < n], (half[half > 0] - 1) * size + terms[half > 0])))
+        rows, terms = np.divmod(pairs, size)
+        many = max(1, CELLS // self.n_blocks)
+        for first in range(0, n, many):
+            a, b = np.searchsorted(rows, (first, first + many))
+            t = terms[a:b]
+            counts = self.offsets[t + 1] - self.offsets[t]
+            at = np.repeat(self.offsets[t] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+            cells = np.repeat((rows[a:b] - first) * self.n_blocks, counts) + self.block_of[at]
+            here = min(many, n - first)
+            best = np.bincount(cells, weights=self.max_of[at], minlength=here * self.n_blocks).reshape(here, self.n_blocks).max(1)
+            out += (np.nonzero(best >= threshold - 1e-6)[0] + first).tolist()
+        return out
+
     def search(self, text: str | None, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float, int]]:
         """(item_id, score, question overlap, answer overlap, first word of the passage): the best passage for each item it holds.
 
@@ -136,16 +168,10 @@ class Index:
         if not words or not self.ids:
             return []
         ids = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int32, len(words))
-        cover = np.concatenate(([0.0], np.cumsum(self.ceiling[ids])))
-        starts = np.arange(0, max(1, len(words) - self.longest), self.longest)
-        ends = np.minimum(starts + 2 * self.longest, len(words))
         best: dict[int, tuple] = {}
-        for i in np.nonzero(cover[ends] - cover[starts] >= threshold - 1e-6)[0].tolist():
-            a, b = int(starts[i]), int(ends[i])
-            terms = np.unique(ids[a:b])
-            if self.ceiling[terms].sum() < threshold - 1e-6:
-                continue
-            for place, score in self.above([t for t in terms.tolist() if t >= 0], threshold):
+        for k in self.promising(ids, threshold):
+            a, b = k * self.longest, min((k + 2) * self.longest, len(words))
+            for place, score in self.above([t for t in np.unique(ids[a:b]).tolist() if t >= 0], threshold):
                 q, w, qn, wn = self.parts[place]
                 here = {n: shingles(words[a:b], n) for n in {qn, wn} if n}
                 got_q = len(q & here[qn]) / len(q) if q else 1.0
