@@ -116,9 +116,9 @@ def base_failed() -> Column:
 
 
 def group_of(bins: int = 2) -> Column:
-    """Language (or script, where the language is null) and length class of a document: ``bins`` classes for each doubling of its tokens."""
+    """Language (or script, where the language is null) and length class of a document: ``bins`` classes for each doubling of its words."""
     name = F.coalesce(F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.col("script")))
-    return F.concat(name, F.lit("/"), F.floor(bins * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string"))
+    return F.concat(name, F.lit("/"), F.floor(bins * F.log2(F.greatest("n_words", F.lit(1)))).cast("string"))
 
 
 def bands(measured: DataFrame, fewest: int = 100, least: tuple[float, ...] = (0.003, 0.0015, 0.0015)) -> DataFrame:
