@@ -125,7 +125,7 @@ def cube(t: Tables) -> DataFrame:
 @query("""SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O FROM orders GROUP BY o_orderpriority""")
 def pivot(t: Tables) -> DataFrame:
     """PIVOT with named values, which saves the pass that would look for them."""
-    return t.orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O"]).agg(F.count("*")).na.fill(0)
+    return t.orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("""SELECT c_custkey, name, val FROM (SELECT c_custkey, c_acctbal AS bal, CAST(c_nationkey AS DOUBLE) AS nat FROM customer) UNPIVOT (val FOR name IN (bal, nat))""")

@@ -66,7 +66,7 @@ def groups_frame(t: Tables) -> DataFrame:
     return ranked.select("o_orderkey", F.count("*").over(Window.partitionBy("o_custkey").orderBy("g").rangeBetween(-1, 0)).alias("n"))
 
 
-@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id EXCLUDE CURRENT ROW) AS others, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW), 0), 4) AS around FROM events""")
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS others, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW), 0), 4) AS around FROM events""")
 def exclude_current(t: Tables) -> DataFrame:
     """EXCLUDE CURRENT ROW: the frame's count less one; the frames before and after, added."""
     users = Window.partitionBy("user_id")

@@ -29,10 +29,10 @@ def run(out: DataFrame, mode: str = "append") -> DataFrame:
     if mode == "append":
         q = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).trigger(availableNow=True).start()
     else:
-        keep = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n if mode == 'update' else 0}")
+        keep = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/{n if mode == 'update' else 0}")
         q = out.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)
+    return spark.read.schema(out.schema).option("recursiveFileLookup", mode != "append").parquet(path)
 
 
 @query("""SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'""")
