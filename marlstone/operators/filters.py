@@ -77,3 +77,15 @@ def qualify(t: Tables) -> DataFrame:
 
     w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
     return t.part.withColumn("r", F.row_number().over(w)).where("r = 1").select("p_partkey", "p_brand")
+
+
+@query("""SELECT CAST(sum(i) AS BIGINT) AS total FROM range(1, 11) r(i)""")
+def scripting(t: Tables) -> DataFrame:
+    """A SQL script with a variable and a loop."""
+    return t.spark.sql("BEGIN DECLARE i INT = 0; DECLARE total BIGINT = 0; WHILE i < 10 DO SET i = i + 1; SET total = total + i; END WHILE; SELECT total AS total; END")
+
+
+@query("""SELECT p_partkey FROM part WHERE p_name LIKE '%a!_b%' ESCAPE '!' OR p_name LIKE '%e%'""")
+def like_escape(t: Tables) -> DataFrame:
+    """LIKE with an escape character that both engines read alike."""
+    return sql(t.spark, t.sf_dir, "SELECT p_partkey FROM {part} WHERE p_name LIKE '%a!_b%' ESCAPE '!' OR p_name LIKE '%e%'", "part")

@@ -174,3 +174,19 @@ def shipping_priority(t: Tables) -> DataFrame:
 def correlated_subquery(t: Tables) -> DataFrame:
     """A correlated scalar subquery, which becomes an aggregate and a join."""
     return sql(t.spark, t.sf_dir, "SELECT count(*) AS n FROM {lineitem} l WHERE l_quantity < (SELECT 0.5 * avg(l_quantity) FROM {lineitem} i WHERE i.l_partkey = l.l_partkey)", "lineitem")
+
+
+@query("""SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""")
+def join_theta(t: Tables) -> DataFrame:
+    """An equality and an inequality."""
+    a, b = t.nation.alias("a"), t.nation.alias("b")
+    return a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"))
+
+
+@query("""SELECT event_id, b_id FROM (SELECT a.event_id, b.event_id AS b_id, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts DESC) AS r FROM events a JOIN events b
+ON a.user_id = b.user_id AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 1 DAY WHERE a.event_type = 'click' AND b.event_type = 'view') WHERE r = 1""")
+def join_as_of_within(t: Tables) -> DataFrame:
+    """The last view of the day before each click: the as-of join with a bound."""
+    views = t.events.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("b_id"))
+    out = as_of(t.events.where("event_type = 'click'"), views, "user_id", "ts", "seen", ["b_id", "seen"])
+    return out.where(F.expr("seen_as_of >= ts - interval 1 day")).select("event_id", F.col("b_id_as_of").alias("b_id"))

@@ -80,3 +80,17 @@ def exact_duplicates(t: Tables) -> DataFrame:
 def sampled(t: Tables) -> DataFrame:
     """A tenth of the rows at random; the sample differs from engine to engine."""
     return t.lineitem.sample(fraction=0.1, seed=1)
+
+
+@query()
+def table_sample(t: Tables) -> DataFrame:
+    """TABLESAMPLE, repeatable on the same files."""
+    from marlstone.session import sql
+
+    return sql(t.spark, t.sf_dir, "SELECT * FROM {orders} TABLESAMPLE (10 PERCENT) REPEATABLE (1)", "orders")
+
+
+@query("""SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier""")
+def union_by_name(t: Tables) -> DataFrame:
+    """UNION ALL by column names."""
+    return t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")).unionByName(t.supplier.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("k")))

@@ -97,3 +97,83 @@ def stream_memory(t: Tables) -> DataFrame:
     out = stream(t).groupBy("event_type").agg(F.count("*").alias("n"))
     out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return t.spark.table(name)
+
+
+def _clicks_views(t: Tables) -> tuple[DataFrame, DataFrame]:
+    a = stream(t).where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("u1"), F.col("ts").alias("t1")).withWatermark("t1", "10 minutes")
+    b = stream(t).where("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("u2"), F.col("ts").alias("t2")).withWatermark("t2", "10 minutes")
+    return a, b
+
+
+NEAR = "u1 = u2 and t2 >= t1 - interval 1 hour and t2 <= t1 + interval 1 hour"
+
+
+@query()
+def stream_left_join(t: Tables) -> DataFrame:
+    """Views with clicks within the hour, or null once the watermark rules a click out."""
+    a, b = _clicks_views(t)
+    return run(a.join(b, F.expr(NEAR), "left").select("view_id", "click_id"))
+
+
+@query()
+def stream_full_join(t: Tables) -> DataFrame:
+    """The same from both sides."""
+    a, b = _clicks_views(t)
+    return run(a.join(b, F.expr(NEAR), "full").select("view_id", "click_id"))
+
+
+@query("""SELECT event_id AS view_id FROM events a WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'click'
+AND b.user_id = a.user_id AND b.ts >= a.ts - INTERVAL 1 HOUR AND b.ts <= a.ts + INTERVAL 1 HOUR)""")
+def stream_semi_join(t: Tables) -> DataFrame:
+    """Views that have a click within the hour."""
+    a, b = _clicks_views(t)
+    return run(a.join(b, F.expr(NEAR), "left_semi").select("view_id"))
+
+
+@query()
+def stream_anti_join(t: Tables) -> DataFrame:
+    """Views that have none: an outer join and a filter, as streams have no anti join."""
+    a, b = _clicks_views(t)
+    return run(a.join(b, F.expr(NEAR), "left").where("click_id is null").select("view_id"))
+
+
+@query()
+def stream_chained(t: Tables) -> DataFrame:
+    """Windows of windows: hourly counts, then the busiest hour of each day."""
+    hours = stream(t).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    days = hours.groupBy(F.window("w", "1 day").alias("d")).agg(F.max("n").alias("most"))
+    return run(days.select(F.col("d.start").alias("start"), "most"))
+
+
+@query("""SELECT user_id, count(*) AS n FROM events GROUP BY user_id""")
+def stream_state(t: Tables) -> DataFrame:
+    """Counts held in a stateful processor of our own, on a RocksDB state store."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Counter(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.seen = handle.getValueState("seen", "n long")
+
+        def handleInputRows(self, key, rows, timers):
+            n = (self.seen.get()[0] if self.seen.exists() else 0) + sum(len(x) for x in rows)
+            self.seen.update((n,))
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+        def close(self) -> None:
+            pass
+
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, store)
+    try:
+        counted = stream(t).select("user_id").groupBy("user_id").transformWithStateInPandas(Counter(), "user_id long, n long", "Update", "None")
+        return run(counted, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+    finally:
+        t.spark.conf.set(name, before)
+
+
+@query("""SELECT event_id FROM events""")
+def stream_batches(t: Tables) -> DataFrame:
+    """A sink of our own by foreachBatch."""
+    return run(stream(t).select("event_id"), "update")
