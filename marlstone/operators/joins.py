@@ -17,18 +17,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def as_of(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, values: list[str], bucket: float | None = None) -> DataFrame:
     """Each row of ``left`` with ``values`` of the last row of ``right`` at or before it, by key ``on``; null if there is none.
 
     One shuffle of the union and a running window, so a key's work is linear in
-    its rows. Right rows come first at equal times.
+    its rows. Right rows come first at equal times. ``bucket`` cuts each key's time
+    into spans of so many seconds (or units, for numbers), which become tasks of
+    their own; a hot key is then split, and only the last right row of each span is
+    carried to the next.
     """
-    taken = [c for c in left.columns]
-    lhs = left.select(F.col(on).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*taken).alias("_l"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"_v_{v}") for v in values], F.lit(None).cast("boolean").alias("_has"))
-    rhs = right.select(F.col(on).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(lhs.schema["_l"].dataType).alias("_l"), *[F.col(v).alias(f"_v_{v}") for v in values], F.lit(True).alias("_has"))
-    w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last_value(F.when(F.col("_has"), F.struct(*[f"_v_{v}" for v in values])), True).over(w)
-    both = lhs.unionByName(rhs).withColumn("_last", last).where("_side = 1")
+    kind, number = F.struct(*[F.col(v).alias(f"_v_{v}") for v in values]), lambda c: F.col(c).cast("timestamp").cast("double") if "timestamp" in right.schema[right_ts].dataType.simpleString() else F.col(c).cast("double")
+    span = F.lit(0).cast("long") if bucket is None else F.floor(number("_t") / bucket)
+    lhs = left.select(F.col(on).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
+    rhs = right.select(F.col(on).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), kind.alias("_r"))
+    both = lhs.unionByName(rhs, allowMissingColumns=True).withColumn("_span", span)
+    w = Window.partitionBy("_k", "_span").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_last", F.last_value("_r", F.lit(True)).over(w)).where("_side = 1")
+    if bucket is not None:
+        ends = rhs.withColumn("_span", span).groupBy("_k", "_span").agg(F.max_by("_r", "_t").alias("_r"))
+        asked = both.select("_k", "_span").distinct().withColumn("_r", F.lit(None).cast(ends.schema["_r"].dataType))
+        before = Window.partitionBy("_k").orderBy("_span").rangeBetween(Window.unboundedPreceding, -1)
+        carried = ends.unionByName(asked).withColumn("_c", F.last_value("_r", F.lit(True)).over(before)).groupBy("_k", "_span").agg(F.max("_c").alias("_c"))
+        carried = carried.select(F.col("_k").alias("_ck"), F.col("_span").alias("_cs"), "_c")
+        both = both.join(carried, (F.col("_k") == F.col("_ck")) & (F.col("_span") == F.col("_cs")), "left").withColumn("_last", F.coalesce("_last", "_c"))
     return both.select("_l.*", *[F.col(f"_last._v_{v}").alias(f"{v}_as_of") for v in values])
 
 
@@ -119,6 +130,15 @@ def join_as_of(t: Tables) -> DataFrame:
     return out.select("event_id", F.col("view_as_of").alias("view_id"))
 
 
+@query("""SELECT a.event_id, b.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'click') a
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.ts >= b.ts""")
+def join_as_of_split(t: Tables) -> DataFrame:
+    """The same with each user's time cut into days."""
+    views = t.events.where("event_type = 'view'").withColumnRenamed("event_id", "view")
+    out = as_of(t.events.where("event_type = 'click'"), views, "user_id", "ts", "ts", ["view"], bucket=86400)
+    return out.select("event_id", F.col("view_as_of").alias("view_id"))
+
+
 @query("""SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)""")
 def join_lateral(t: Tables) -> DataFrame:
     """The dearest order of each customer."""
