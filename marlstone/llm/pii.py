@@ -22,7 +22,7 @@ PATTERNS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])",
+    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])|(?<![\w(+-])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.])[0-9](?:[ -]?[0-9]){11,18}(?![\w])",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
@@ -241,7 +241,7 @@ def pseudonymised(docs: DataFrame, key: str = "change-me", text_col: str = "text
     Cards must pass Luhn's check and get a new valid check digit; account numbers
     theirs modulo 97; social security numbers, IPv4 addresses, dates (1900 to
     2100), phone numbers (+, 8 to 15 digits) and e-mail addresses must be well
-    formed. What fails stays as it is. Leading card digit, country code of phones
+    formed (phones also as (555) 123-4567 and 555-123-4567). What fails stays as it is. Leading card digit, country code of phones
     and accounts, letters of accounts and mail domains are kept, and so are
     separators. A null text stays null with counts of 0; repeated rows and any
     other columns come back as they are. Columns named like a count are replaced.
