@@ -231,7 +231,9 @@ def fitted(docs: DataFrame, findings: int = 4000, contexts: int = 200, seed: int
     """
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text"), F.lit(1))).cast("int")
     slim = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text"), at, F.lit(400)).alias("piece"))
-    pieces = [r["piece"] for r in slim.orderBy("h", "piece").limit(contexts).collect()]
+    share = min(1.0, 4 * contexts / max(1, docs.count()))  # so that tasks send the driver few more than it keeps
+    few = slim.where(F.shiftrightunsigned("h", 11) < int(share * (1 << 53)))
+    pieces = [r["piece"] for r in few.orderBy("h", "piece").limit(contexts).collect()]
     return train(*labelled([p for p in pieces if p], findings, seed), seed=seed)
 
 
