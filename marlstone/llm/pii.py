@@ -15,16 +15,25 @@ from marlstone.llm.common import bind, fresh, table
 
 ROUNDS = 10
 KINDS = ("email", "date", "ip", "iban", "ssn", "phone", "card")
+#: Characters of an account number by country, for those of the IBAN registry.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_ACCOUNT = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in LENGTHS.items())
 #: How each kind is written. Repetitions are bounded, so long texts are scanned in linear time.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_ACCOUNT})(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])|(?<![\w(+-])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![\w-])",
-    "card": r"(?<![\w.])[0-9](?:[ -]?[0-9]){11,18}(?![\w])",
 }
+#: A card's run of digits ends before any other kind; cards are looked for in longer runs.
+PATTERNS["card"] = rf"(?<![\w.])[0-9](?:(?![ -](?:{'|'.join(PATTERNS[k] for k in ('date', 'ip', 'ssn', 'phone'))}))[ -]?[0-9]){{11,63}}(?![\w])"
+#: How cards are written: the longest at a place is to be tried first.
+CARDS = (r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}", r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{12,19}")
 ANY = "|".join(PATTERNS[k] for k in KINDS)
 #: For texts without an @, which spares the search for names at each word.
 NUMBERS = "|".join(PATTERNS[k] for k in KINDS[1:])
@@ -125,13 +134,45 @@ def mod97(s: Column) -> Column:
     return F.aggregate(F.split(s, ""), F.lit(0), lambda acc, c: F.when(c.rlike("^[0-9]$"), acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55) % 97)
 
 
+def _card_digits(d: Column) -> Column:
+    return F.length(d).between(12, 19) & (luhn(d) == 0) & d.rlike("[1-9]")
+
+
+def _account_valid(s: Column) -> Column:
+    rest = s.substr(F.lit(5), F.length(s))
+    return (mod97(F.concat(rest, s.substr(F.lit(1), F.lit(4)))) == 1) & s.substr(F.lit(3), F.lit(2)).cast("int").between(2, 98)
+
+
+def parts(m: Column) -> Column:
+    """A match as an array of structs (value, text): itself, or if it is a run of digits or an account that fails its check, the cards in it and what is between.
+
+    Such a card is written as cards are and passes Luhn's check. The rest of a
+    run of digits is tried as runs of 12 to 19.
+    """
+    whole = F.array(F.struct(F.lit(True).alias("value"), m.alias("text")))
+    digits = m.rlike("^[0-9 -]+$") & m.rlike(f"^(?:{PATTERNS['card']})$")
+    passes = F.when(digits, _card_digits(digits_of(m))).when(m.rlike("^[A-Z]{2}[0-9]{2}"), _account_valid(F.regexp_replace(m, " ", ""))).otherwise(True)
+    found = F.concat(*[F.regexp_extract_all(m, F.lit(rf"(?<![0-9])(?=({c})(?![0-9]))"), F.lit(1)) for c in CARDS])
+
+    def cut(cards: Column) -> Column:
+        known = F.array_join(cards, "|")
+        stop = F.when(F.size(cards) > 0, F.concat(F.lit("(?![ -](?:"), known, F.lit(")(?![0-9]))"))).otherwise("")
+        runs = F.concat(F.lit(r"(?<![\w.])[0-9](?:"), stop, F.lit(r"[ -]?[0-9]){11,18}(?![\w])"))
+        exact = F.concat(F.lit("(?<![0-9])(?:"), known, F.lit(")(?![0-9])"))
+        pattern = F.when(digits & (F.size(cards) > 0), F.concat(exact, F.lit("|"), runs)).when(digits, runs).when(F.size(cards) > 0, exact)
+        pieces = lambda p: F.flatten(F.zip_with(F.split(m, p, -1), F.regexp_extract_all(m, p, F.lit(0)), lambda g, v: F.array(F.struct(F.lit(False).alias("value"), g.alias("text")), F.struct(v.isNotNull().alias("value"), F.coalesce(v, F.lit("")).alias("text")))))
+        return F.when(pattern.isNull(), whole).otherwise(bind(pattern, pieces))
+
+    return F.when(passes, whole).otherwise(bind(F.filter(found, lambda c: _card_digits(digits_of(c))), cut))
+
+
 def _card(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
         def closed(body: Column) -> Column:
             return F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
 
         body = F.concat(d.substr(F.lit(1), F.lit(1)), permuted_digits(d.substr(F.lit(2), F.length(d) - 2), key, "card"))
-        return F.when((luhn(d) == 0) & d.rlike("[1-9]"), refilled(m, bind(body, closed)))
+        return F.when(_card_digits(d), refilled(m, bind(body, closed)))
 
     return bind(digits_of(m), new)
 
@@ -241,7 +282,7 @@ def pseudonymised(docs: DataFrame, key: str = "change-me", text_col: str = "text
     Cards must pass Luhn's check and get a new valid check digit; account numbers
     theirs modulo 97; social security numbers, IPv4 addresses, dates (1900 to
     2100), phone numbers (+, 8 to 15 digits) and e-mail addresses must be well
-    formed (phones also as (555) 123-4567 and 555-123-4567). What fails stays as it is. Leading card digit, country code of phones
+    formed (phones also as (555) 123-4567 and 555-123-4567). What fails stays as it is, but for the cards in a run of digits or in what looks like an account. Leading card digit, country code of phones
     and accounts, letters of accounts and mail domains are kept, and so are
     separators. A null text stays null with counts of 0; repeated rows and any
     other columns come back as they are. Columns named like a count are replaced.
@@ -252,11 +293,13 @@ def pseudonymised(docs: DataFrame, key: str = "change-me", text_col: str = "text
     mail = text.contains("@")
     found_by = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     matches = F.when(mail, found_by(ANY)).when(text.rlike("[0-9]"), found_by(NUMBERS)).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn(values, matches).withColumn(found, F.transform(values, lambda m: pseudonym(m, key)))
-    new = F.zip_with(F.col(found), F.col(values), lambda f, m: F.coalesce(f["new"], m))
+    out = docs.withColumn(values, F.transform(matches, parts))
+    piece = lambda p: F.when(p["value"], pseudonym(p["text"], key))
+    out = out.withColumn(found, F.transform(values, lambda ps: F.transform(ps, lambda p: F.struct(piece(p).alias("f"), p["text"].alias("text")))))
+    new = F.transform(found, lambda ps: F.array_join(F.transform(ps, lambda p: F.coalesce(p["f"]["new"], p["text"])), ""))
     gaps = F.when(mail, F.split(text, ANY, -1)).otherwise(F.split(text, NUMBERS, -1))
     filled = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
-    number = lambda k: F.coalesce(F.size(F.filter(found, lambda f: f["kind"] == k)), F.lit(0)).cast("long").alias(f"n_{k}")
+    number = lambda k: F.coalesce(F.size(F.filter(F.flatten(found), lambda p: p["f"]["kind"] == k)), F.lit(0)).cast("long").alias(f"n_{k}")
     rest = [F.when(F.size(values) > 0, filled).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*rest, *map(number, KINDS))
 

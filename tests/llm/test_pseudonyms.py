@@ -112,3 +112,21 @@ def test_equal_values_stay_linked_and_the_rest_is_left(make, odd, words):
 def test_long_runs_end(make, piece):
     text = piece * 40_000
     assert P.pseudonymised(make([text])).count() == 1
+
+
+@pytest.mark.parametrize("text, value, kind", [
+    ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"), ("4111111111111111 123", "4111111111111111", "card"), ("12 4111-1111-1111-1111", "4111-1111-1111-1111", "card"),
+    ("1234 4111 1111 1111 1111 12", "4111 1111 1111 1111", "card"), ("3782 822463 10005 0427", "3782 822463 10005", "card"), ("BE68539007547034 EUR", "BE68539007547034", "iban"),
+    ("AT61 1904 3002 3457 3201 BIC", "AT61 1904 3002 3457 3201", "iban"), ("PL61 1090 1014 0000 0712 1981 2874 PLN", "PL61 1090 1014 0000 0712 1981 2874", "iban"), ("DE12 4111 1111 1111 1111 12", "4111 1111 1111 1111", "card"),
+])
+def test_neighbours_do_not_hide_a_value(make, text, value, kind):
+    row, alone = P.pseudonymised(make([f"pay {text}, end", value]), "k").orderBy("doc_id").collect()
+    assert value not in row["text"] and row[f"n_{kind}"] == 1
+    assert row["text"] == f"pay {text.replace(value, alone['text'])}, end"
+
+
+def test_all_values_of_a_run_are_found(make):
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "378282246310005"]
+    rows = P.pseudonymised(make([" ".join(cards) + " 2027-12-31", "BE68 5390 0754 7034 4111 1111 1111 1111"]), "k").orderBy("doc_id").collect()
+    assert (rows[0]["n_card"], rows[0]["n_date"], rows[1]["n_iban"], rows[1]["n_card"]) == (3, 1, 1, 1)
+    assert not any(c in rows[0]["text"] for c in cards)
