@@ -20,6 +20,10 @@ _NOT_COUNTED = bytes([*range(9, 14), 32, *range(0x80, 0xC0)])
 SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
 #: A tokeniser gets pieces of a long text, cut between words, of about so many characters.
 PIECE = 1 << 18
+#: Bands of a group with too few documents come from so many length classes to either side, then from its language (or script), then its script.
+WIDER = (0, 1, 2, 4)
+#: Without any bands, the least and most of each measure; in scripts other than Latin all tokens may be single bytes.
+FIXED = {"chars_per_token": (0.2, 12.0), "fallback_share": (0.0, 0.5), "entropy": (0.4, 1.0)}
 
 
 @cache
@@ -115,37 +119,51 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def group_of(bins: int = 2) -> Column:
-    """Language (or script, where the language is null) and length class of a document: ``bins`` classes for each doubling of its words."""
-    name = F.coalesce(F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.col("script")))
-    return F.concat(name, F.lit("/"), F.floor(bins * F.log2(F.greatest("n_words", F.lit(1)))).cast("string"))
+def name_of() -> Column:
+    """Language of a document, or its script where the language is null."""
+    return F.coalesce(F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.col("script")))
+
+
+def class_of(bins: int = 2) -> Column:
+    """Length class of a document: ``bins`` classes for each doubling of its words."""
+    return F.floor(bins * F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
 
 
 def bands(measured: DataFrame, fewest: int = 100, least: tuple[float, ...] = (0.003, 0.0015, 0.0015)) -> DataFrame:
-    """For each group, of each measure the middle (mid_*) and the usual distance from it (away_*).
+    """For each group (name, class, script), of each measure the middle (mid_*) and the usual distance from it (away_*).
 
     The middle is the median over all documents that pass the base rules, the
     distance the median one from it, but not under ``least``. Short texts vary
-    more and entropy falls with length, so a group holds one language and one
-    length class. A group with under ``fewest`` such documents has no bands. Values
-    are counted in steps of 1/1000, so the medians are exact, alike in each run,
-    and found on a table that doesn't grow with the corpus.
+    more and entropy falls with length, so bands are those of one language and one
+    length class. Where under ``fewest`` such documents are, they come from the
+    neighbouring classes (WIDER), else from all of the language, else from all of
+    the script; a group whose script has fewer has none. Values are counted in
+    steps of 1/1000, so the medians are exact, alike in each run, and found on a
+    table that doesn't grow with the corpus.
     """
     values = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * 1000).cast("long").alias("v")) for m in MEASURES])
-    long = measured.where(~base_failed()).select(group_of().alias("grp"), F.explode(values).alias("x")).select("grp", "x.*")
+    counted = measured.where(~base_failed()).select(name_of().alias("name"), class_of().alias("class"), "script", F.explode(values).alias("x")).select("name", "class", "script", "x.*")
+    counted = staged(counted.groupBy("name", "class", "script", "measure", "v").agg(F.count("*").alias("n")), "fertility_counts")
+    near = lambda k: F.transform(F.sequence(F.lit(-k), F.lit(k)), lambda d: F.concat_ws("/", F.lit(str(k)), "name", F.col("class") + d))
+    wide = [F.concat_ws("/", F.lit("all"), "name"), F.concat_ws("/", F.lit("script"), "script")]
+    long = counted.select(F.explode(F.concat(*[near(k) for k in WIDER], F.array(*wide))).alias("grp"), "measure", "v", "n")
 
     def median(hist: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy("grp", "measure")
         upto = hist.select("grp", "measure", "v", F.sum("n").over(w.orderBy("v")).alias("upto"), F.sum("n").over(w).alias("group_n"))
         return upto.where("2 * upto >= group_n").groupBy("grp", "measure").agg(F.min("v").alias(name), F.first("group_n").alias("group_n"))
 
-    hist = staged(long.groupBy("grp", "measure", "v").agg(F.count("*").alias("n")), "fertility")
+    hist = staged(long.groupBy("grp", "measure", "v").agg(F.sum("n").alias("n")), "fertility")
     mid = staged(median(hist, "mid").where(F.col("group_n") >= fewest).select("grp", "measure", "mid"), "middles")
     away = median(hist.join(mid, ["grp", "measure"]).groupBy("grp", "measure", F.abs(F.col("v") - F.col("mid")).alias("v")).agg(F.sum("n").alias("n")), "away")
     both = mid.join(away, ["grp", "measure"])
     cols = [F.max(F.when(F.col("measure") == m, F.col(c) / 1000)).alias(f"{c}_{m}") for m in MEASURES for c in ("mid", "away")]
-    out = both.groupBy("grp").agg(*cols)
-    return out.select("grp", *[f"mid_{m}" for m in MEASURES], *[F.greatest(f"away_{m}", F.lit(x)).alias(f"away_{m}") for m, x in zip(MEASURES, least, strict=True)])
+    found = both.groupBy("grp").agg(*cols)
+    groups = counted.select("name", "class", "script").distinct()
+    tries = F.array(*[F.concat_ws("/", F.lit(str(k)), "name", "class") for k in WIDER], *wide)
+    tried = groups.select("name", "class", "script", F.posexplode(tries).alias("level", "grp")).join(found, "grp")
+    out = tried.groupBy("name", "class", "script").agg(F.min_by(F.struct(*found.columns[1:]), "level").alias("b")).select("name", "class", "script", "b.*")
+    return out.select("name", "class", "script", *[f"mid_{m}" for m in MEASURES], *[F.greatest(f"away_{m}", F.lit(x)).alias(f"away_{m}") for m, x in zip(MEASURES, least, strict=True)])
 
 
 def judged(measured: DataFrame, width: float = 7.0, joint: float = 9.0) -> DataFrame:
@@ -154,15 +172,18 @@ def judged(measured: DataFrame, width: float = 7.0, joint: float = 9.0) -> DataF
     outside names the measures that lie over ``width`` usual distances from their
     middle, and "joint" where the distances of chars_per_token and entropy add up
     to over ``joint``: text of odd spelling loses on both. A document is kept if it
-    passes the base rules and outside is empty; a group without bands rejects none.
+    passes the base rules and outside is empty. Where a group has no bands, outside
+    names the measures beyond FIXED.
     """
     limits = bounded(staged(bands(measured), "bands"))
-    out = measured.withColumn("base_failed", base_failed()).withColumn("_grp", group_of()).join(limits.withColumnRenamed("grp", "_of"), F.col("_grp") == F.col("_of"), "left")
+    out = measured.withColumn("base_failed", base_failed()).join(limits.select(F.col("name").alias("_name"), F.col("class").alias("_class"), F.col("script").alias("_script"), *limits.columns[3:]), (name_of() == F.col("_name")) & (class_of() == F.col("_class")) & (F.col("script") == F.col("_script")), "left")
     far = {m: (F.col(m) - F.col(f"mid_{m}")) / F.col(f"away_{m}") for m in MEASURES}
-    odd = [F.when(F.abs(z) > width, F.lit(m)) for m, z in far.items()]
+    beyond = {m: ~F.col(m).between(lo, hi) for m, (lo, hi) in FIXED.items()}
+    beyond["fallback_share"] &= F.col("script") == "latin"
+    odd = [F.when(F.when(F.col("_name").isNull(), beyond[m]).otherwise(F.abs(z) > width), F.lit(m)) for m, z in far.items()]
     odd.append(F.when(F.abs(far["chars_per_token"] + far["entropy"]) > joint, F.lit("joint")))
     out = out.withColumn("outside", F.array_compact(F.array(*odd)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0)).drop("_grp", *limits.columns[1:], "_of")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0)).drop("_name", "_class", "_script", *limits.columns[3:])
 
 
 def quality(docs: DataFrame, tokeniser: str | None = None) -> DataFrame:

@@ -54,3 +54,19 @@ def test_keep_good_keeps_columns(make, words, odd):
     assert kept.columns == docs.columns
     assert [r["text_hash"] for r in kept.collect()] == ["mine", "mine"]
     assert Q.keep_good(docs.limit(0)).count() == 0
+
+
+def test_small_groups_are_judged_by_wider_bands(make, words):
+    good = [words(120, s) for s in range(200)] + [words(n, n) for n in (90, 170, 480, 3000)]
+    bad = [words(n, 1000 + n).upper() for n in (90, 170, 480, 3000)] + [words(120, 9).upper()]
+    langs = ["en"] * 208 + ["rare"]
+    got = {r["doc_id"]: r for r in Q.quality(make(good + bad, langs=langs)).collect()}
+    assert not any(got[204 + i]["kept"] for i in range(5))
+    assert sum(got[i]["kept"] for i in range(200)) >= 197
+
+
+def test_few_documents_meet_fixed_limits(make):
+    from random import Random
+
+    noise = " ".join("".join(chr(Random(9 * i + j).randint(0x100, 0x24F)) for j in range(8)) for i in range(80))
+    assert [r["outside"] for r in Q.quality(make([noise])).collect()] == [["fallback_share"]]
