@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as Java regular expressions write it: a run of anything but space and \t \n \v \f \r.
@@ -105,6 +105,36 @@ def bounded(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """A 64-bit hash of all columns of a row; maps by their text, as they have no order."""
+    plain = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in df.dtypes]
+    return F.xxhash64(F.lit(seed), *[x for c in plain for x in (c.isNull(), c)])
+
+
+def repeated(counted: DataFrame, n: str, copy: str, chunk: int = 4096) -> DataFrame:
+    """Each row of ``counted`` as often as its column ``n`` says, numbered from 1 in a new column ``copy``.
+
+    Numbers are made in chunks that are dealt to all tasks, so a row of very many
+    copies neither fills an array nor keeps one task busy.
+    """
+    (part,) = fresh(counted, "copy_part")
+    parts = counted.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / chunk))))
+    if not counted.where(F.col(n) > chunk).isEmpty():
+        parts = parts.repartition(*counted.columns, part)
+    first = F.col(part) * chunk
+    return parts.withColumn(copy, F.explode(F.sequence(first + 1, F.least(first + chunk, F.col(n))))).drop(part)
+
+
+def numbered(df: DataFrame, order: Column, number: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 in the order of a column, by ranges of it whose sizes are counted; no task sees all rows."""
+    part, size, before = fresh(df, "range_part", "range_rows", "range_before")
+    ranged = staged(df.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(part).agg(F.count("*").alias(size))
+    upto = F.sum(size).over(Window.orderBy(part)) - F.col(size)  # one row for each partition
+    own = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    return ranged.withColumn(number, own).join(F.broadcast(sizes.select(part, upto.alias(before))), part).withColumn(number, (F.col(number) + F.col(before)).cast("long")).drop(part, before)
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with ``value`` computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import NO_ID, bind, bounded, fresh, n_words, staged, table, unit
+from marlstone.llm.common import bind, bounded, fresh, n_words, numbered, repeated, row_hash, staged, table, unit
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows that one step of the tree folds; each gives one residual to the next level.
@@ -18,12 +18,13 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     Sources by code point, null last, take the weights in turn and share ``share``
     times all sizes. A target stops at ``most`` times its source's size; the excess
     goes to the others by weight, until none is above. Sources are aggregated
-    first; each round of resharing sends two sums to the driver.
+    first and numbered by ranges, so there may be as many as web domains; each
+    round of resharing sends two sums to the driver.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    per = staged(per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))), "sources")
+    ranked = numbered(per, F.col("source").asc_nulls_last(), "rank")
+    turn = F.col("rank") % len(weights)
+    per = staged(ranked.select("source", "source_size", "n_rows", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")).alias("weight")), "sources")
     total = share * (per.agg(F.sum("source_size")).first()[0] or 0)
     unit_share = None
     while True:
@@ -83,17 +84,19 @@ def copies(sized: DataFrame, goals: DataFrame, seed: int = 7) -> DataFrame:
     FAN_IN rows of one source, larger sizes first. Each block leaves one open row,
     and blocks of these are folded in turn until a source has one, which is drawn.
     So a source's taken size misses its target by less than one document. A hot
-    source only has more blocks. Rows of size 0 take no part in the rounding.
+    source only has more blocks. Equal rows are counted, numbered and spread over
+    blocks by their number. Rows of size 0 take no part in the rounding.
     """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sized.withColumnRenamed("source", "_s").join(bounded(goals), F.col("_s").eqNullSafe(F.col("source"))).select(
-        "doc_id", "source", "size", "source_size", "target", "n_rows", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p")
+    same = sized.groupBy(F.col("source").alias("_s"), "doc_id", "size").agg(F.count("*").alias("same"))
+    rows = repeated(same, "same", "copy").join(bounded(goals), F.col("_s").eqNullSafe(F.col("source"))).select(
+        "doc_id", "source", "size", "copy", "source_size", "target", "n_rows", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p")
     )
     fixed = (F.col("size") == 0) | (F.col("p") == 0)
     done = [rows.where(fixed).select("doc_id", "size", "source_size", "target", F.col("base").alias("copies"))]
     blocks = F.ceil(F.col("n_rows") / FAN_IN)
     level = rows.where(~fixed).select(
-        "source", "source_size", "target", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), blocks).alias("block"), F.struct("doc_id", "size", "base", "p").alias("row")
+        "source", "source_size", "target", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "copy"), blocks).alias("block"), F.struct("doc_id", "size", "base", "p").alias("row")
     )
     most, depth = (goals.agg(F.max("n_rows")).first()[0] or 0), 0
     n_blocks = -(-most // FAN_IN)
@@ -115,34 +118,33 @@ def copies(sized: DataFrame, goals: DataFrame, seed: int = 7) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, identity: Column | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, copies) for every row of ``docs`` (doc_id, text, source).
 
     The size of a text is its number of words; a null or empty text has size 0
     and gets no fractional copy. A null source is a source. Repeated rows are
     rounded each. Without a source column all rows are of the null source. An
     empty table gives no rows. The random draws depend on ``seed`` and the rows
-    alone, so reruns agree.
+    alone, so reruns agree. ``identity`` gives another number than doc_id by which
+    rows are told apart, and takes its name.
     """
     source = (F.col("source") if "source" in docs.columns else F.lit(None)).cast("string")
-    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), n_words(F.col("text")).alias("size")), "sized")
+    sized = staged(docs.select((F.col("doc_id") if identity is None else identity).cast("long").alias("doc_id"), source.alias("source"), n_words(F.col("text")).alias("size")), "sized")
     return copies(sized, targets(sized, weights, share, most), seed)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the same columns.
 
-    Rows are told apart by doc_id and size; those that agree in both share out
-    their copies among themselves in any order.
+    Rows are told apart by a hash of all their columns. Equal rows can take each
+    other's places, so one of them comes back as often as the mix takes all.
     """
-    key, size, rank, many = fresh(docs, "mix_id", "mix_size", "mix_rank", "mix_copies")
-    of = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    taken = mix(docs, **options).groupBy(of.alias("_mixed_id"), F.col("size").alias("_mixed_size")).agg(F.sort_array(F.collect_list("copies")).alias(many))
-    rows = docs.withColumns({key: of, size: n_words(F.col("text"))})
-    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(key, size).orderBy(key)))
-    both = ranked.join(taken, (F.col(key) == F.col("_mixed_id")) & (F.col(size) == F.col("_mixed_size")))
-    n = F.element_at(F.col(many), F.col(rank))
-    return both.where(n > 0).withColumn(rank, F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*docs.columns)
+    size, key, other, rank, copies_, taken_key, taken_size = fresh(docs, "mix_size", "mix_key", "mix_other", "mix_rank", "mix_copies", "taken_key", "taken_size")
+    taken = mix(docs, identity=row_hash(docs, 1), **options).groupBy(F.col("doc_id").alias(taken_key), F.col("size").alias(taken_size)).agg(F.sum("copies").alias(copies_))
+    rows = docs.withColumns({size: n_words(F.col("text")), key: row_hash(docs, 1), other: row_hash(docs, 2)})
+    one = rows.withColumn(rank, F.row_number().over(Window.partitionBy(key, other).orderBy(size))).where(F.col(rank) <= 1).drop(rank)
+    both = one.join(taken.where(F.col(copies_) > 0), (F.col(key) == F.col(taken_key)) & (F.col(size) == F.col(taken_size)))
+    return repeated(both, copies_, rank).select(*docs.columns)
 
 
 def op2_pivotal_mix(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bind, fresh, staged, table, unit
+from marlstone.llm.common import bind, fresh, repeated, row_hash, staged, table, unit
 
 #: Rows that one local permutation sorts, on average.
 LOCAL_ROWS = 16_384
@@ -96,7 +96,7 @@ def places(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     shard is ordered in ranges of its hash whose sizes are counted beforehand.
     """
     counted = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    slim = staged(counted.select("k1", "k2", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")), "shuffle_rows")
+    slim = staged(repeated(counted, "n", "copy").select("k1", "k2", "copy"), "shuffle_rows")
     n = slim.count()
     depth = max(0, math.ceil(math.log2(max(1, n / LOCAL_ROWS))))
     digest = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "k1", "k2", "copy")
@@ -117,28 +117,26 @@ def places(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     return out.select("k1", "k2", "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
-def sharded(docs: DataFrame, shards: int = 40, seed: int = 11, keys: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 40, seed: int = 11) -> DataFrame:
     """``docs`` with shard and slot: a uniform shuffle into shards whose sizes differ by one row at most.
 
-    Slots count from 0 without gaps. Places are drawn for two hashes of ``keys``;
-    the rows themselves move once, to meet their places. Rows that agree in all
-    keys get a place each, independently. Nulls hash like any value; an empty table
-    gives no rows. Columns of ``docs`` that are named shard or slot are replaced.
+    Slots count from 0 without gaps. Places are drawn for two hashes of a row; the
+    rows themselves move once, to meet their places. Equal rows get a place each,
+    independently; one of them meets all these places, so many equal rows shuffle as
+    one. Nulls hash like any value; an empty table gives no rows. Columns of
+    ``docs`` that are named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
-    k1, k2, rank, found = fresh(docs, "sh_key", "sh_other", "sh_rank", "sh_places")
-    names = [k for k in keys if k in docs.columns]
-    keyed = docs.withColumns({k1: F.xxhash64(F.lit(seed), *names), k2: F.xxhash64(F.lit(seed + 1), *names)})
-    drawn = places(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2")), shards, seed)
-    drawn = drawn.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias(found))
-    ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1)))
-    place = F.element_at(F.col(found), F.col(rank))
-    return ranked.join(drawn, (F.col(k1) == F.col("_k1")) & (F.col(k2) == F.col("_k2"))).select(*docs.columns, place["shard"].alias("shard"), place["slot"].alias("slot"))
+    k1, k2, rank, p1, p2 = fresh(docs, "sh_key", "sh_other", "sh_rank", "sh_place_key", "sh_place_other")
+    keyed = docs.withColumns({k1: row_hash(docs, seed), k2: row_hash(docs, seed + 1)})
+    drawn = places(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2")), shards, seed).withColumnsRenamed({"k1": p1, "k2": p2})
+    one = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1))).where(F.col(rank) <= 1)
+    return one.join(drawn, (F.col(k1) == F.col(p1)) & (F.col(k2) == F.col(p2))).select(*docs.columns, "shard", "slot")
 
 
 def op6_hypergeometric_shards(spark, sf_dir: str) -> DataFrame:
     """Query: shard and slot of every document, under the law of equal row counts."""
     docs = table(spark, sf_dir, "documents")
     slim = staged(docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32")), "sizes")
-    out = sharded(slim, keys=("doc_id", "size", "text_crc32"))
+    out = sharded(slim)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

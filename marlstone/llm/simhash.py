@@ -19,10 +19,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import NO_ID, dropped, fresh, ready, staged, table
+from marlstone.llm.common import NO_ID, bounded, dropped, fresh, ready, staged, table
 from marlstone.llm.graph import components
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -200,18 +200,175 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, with_hash: b
     return rows.join(of, rows["fp"] == of["class_fp"]).select("doc_id", "fp", "component_id", *["text_hash", "group"] * with_hash)
 
 
-def one_of_each(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
+#: Documents that are similar, not only near in fingerprint: segments of 23 bits, the full length of the code, in pairs.
+WIDE_SEGMENTS = 4
+WIDE_PAIRS = tuple(combinations(range(WIDE_SEGMENTS), 2))
+#: A shingle's weight in a segment is the inverse of a number in (0, 1], squared, so that a few shingles decide most of a segment's bits.
+STEEP = 2
+#: Bits in which 64-bit fingerprints of equal weights may differ: 9.7 in the mean at a similarity of 0.8.
+APART = 24
+#: Up to so many classes of one key are compared pair by pair; beyond, each with so many of them, and with the next by fingerprint.
+PAIRED, HEADS, NEXT = 64, 8, 4
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, in order; of the whole sequence where it has fewer words; none without words."""
+    split = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(split)
+    if not n:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(split)
+    h = xxhash.xxh64_intdigest
+    if n < words:
+        return np.array([h(line, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, n) + 1)
+    starts = np.concatenate(([0], ends[: n - words])).tolist()
+    return np.unique(np.fromiter((h(line[i:j], 42) for i, j in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)), np.uint64, n - words + 1))
+
+
+def _turned(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of each hash, the ``k``-th."""
+    h = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def _bits(h: np.ndarray, weights: np.ndarray, n: int) -> int:
+    """The first ``n`` bits of the SimHash of hashes with weights."""
+    total = np.zeros(64)
+    for i in range(0, len(h), 1 << 14):
+        total += weights[i : i + (1 << 14)] @ np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * total > weights.sum(), bitorder="little").view("<u8")[0]) & ((1 << n) - 1)
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, int, int, int]:
+    """Four segments of 23 bits in two numbers, a 64-bit SimHash of equal weights, and the number of distinct shingles.
+
+    With equal weights an edit flips bits in all segments: at a similarity of 0.8,
+    each differs in three or four bits. Here each segment has weights of its own,
+    which fall steeply; an edit that misses a segment's few heavy shingles flips no
+    bit of it or one, which the code repairs, and others lose a whole segment.
+    """
+    h = shingles(text, words)
+    if not len(h):
+        return 0, 0, 0, 0
+    segments = []
+    for s in range(WIDE_SEGMENTS):
+        u = ((_turned(h, 2 * s + 1) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
+        segments.append(_bits(_turned(h, 2 * s + 2), u ** -float(STEEP), 23))
+    return segments[0] | segments[1] << 23, segments[2] | segments[3] << 23, _bits(h, np.ones(len(h)), 64), len(h)
+
+
+def _wide_keys(batch: pa.RecordBatch, wide: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and join keys: a pair of codeword indices, and the logarithm of the number of shingles in units of 1 / ``similarity``, for which the near side gives three values."""
+    lo, hi, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 4))
+    found = [codewords((v >> at) & ((1 << 23) - 1)) for v in (lo, hi) for at in (0, 23)]
+    size = np.floor(np.log(np.maximum(n, 1)) / -np.log(similarity)).astype(np.int64)
+    rows, keys = [], []
+    for p, (i, j) in enumerate(WIDE_PAIRS):
+        if wide:
+            a, b = found[i][1].astype(np.int64), found[j][1].astype(np.int64)
+            ok = (a[:, :, None] >= 0) & (b[:, None, :] >= 0)
+            r, x, y = np.nonzero(ok)
+            rows.append(r)
+            keys.append(size[r] << 27 | p << 24 | a[r, x] << 12 | b[r, y])
+        else:
+            for d in (-1, 0, 1):
+                rows.append(np.arange(len(n)))
+                keys.append((size + d + 1) << 27 | p << 24 | found[i][0].astype(np.int64) << 12 | found[j][0])
+    return np.concatenate(rows), np.concatenate(keys) + (np.int64(1 << 27) if wide else np.int64(0))
+
+
+def _wide_keyed(classes: DataFrame, wide: bool, similarity: float) -> DataFrame:
+    """(key, id, fp, n) of classes (id, lo, hi, fp, n)."""
+    out = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows, keys = _wide_keys(batch, wide, similarity)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[batch.column(k).take(at) for k in (0, 3, 4)]], schema=out)
+
+    return classes.select("id", "lo", "hi", "fp", "n").mapInArrow(work, "key long, id long, fp long, n long")
+
+
+def _near(similarity: float) -> Column:
+    return (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= APART) & (F.least("n", "n_b") >= similarity * F.greatest("n", "n_b")) & (F.col("id") != F.col("id_b"))
+
+
+def candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes (id, lo, hi, fp, n) that share a key and may be similar by fingerprint and size."""
+    left, right = _wide_keyed(classes, False, similarity), _wide_keyed(classes, True, similarity)
+    crowded = bounded(staged(left.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > PAIRED), "crowded"))
+    few, many = left.join(crowded, "key", "left_anti"), staged(left.join(crowded, "key", "left_semi"), "crowded_rows")
+    heads = many.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id"))).where(F.col("r") <= HEADS).drop("r")
+    other = right.select("key", F.col("id").alias("id_b"), F.col("fp").alias("fp_b"), F.col("n").alias("n_b"))
+    met = few.unionByName(heads).hint("shuffle_hash").join(other, "key").where(_near(similarity)).select("id", "id_b")
+    order = Window.partitionBy("key").orderBy("fp", "id")
+    after = many.select("id", "fp", "n", *[F.lead(F.struct("id", "fp", "n"), k).over(order).alias(f"next{k}") for k in range(1, NEXT + 1)])
+    after = after.select("id", "fp", "n", F.explode(F.array(*[f"next{k}" for k in range(1, NEXT + 1)])).alias("o")).where("o is not null")
+    after = after.select("id", "fp", "n", F.col("o.id").alias("id_b"), F.col("o.fp").alias("fp_b"), F.col("o.n").alias("n_b")).where(_near(similarity)).select("id", "id_b")
+    both = met.unionByName(after)
+    return both.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, group, component_id) for every row of ``docs``: near-duplicates by ``words``-word shingles.
+
+    Documents with the same shingles form a class. Classes that share a key are
+    candidates; those whose shingles have a Jaccard similarity of at least
+    ``similarity`` are linked, and connected ones form a group. component_id is its
+    least doc_id. Texts without words are one class. Rows without a doc_id never
+    name a group (null if nothing else does); repeated rows come back as often as
+    they went in. An empty table gives no rows.
+    """
+    ready(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    out = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "lo", "hi", "fp", "n")])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(t.as_py(), words) for t in batch.column(2)], dtype=np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, k]) for k in range(4)]], schema=out)
+
+    rows = staged(slim.mapInArrow(work, "doc_id long, text_hash long, lo long, hi long, fp long, n long").withColumn("id", F.xxhash64("lo", "hi", "fp", "n")), "fingerprints")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_hash"))
+    classes = staged(rows.groupBy("id", "lo", "hi", "fp", "n").agg(least.alias("first"), F.min("doc_id").alias("first_id")), "classes")
+    pairs = staged(candidates(classes, similarity), "candidates")
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate_ids")
+    wanted = bounded(staged(classes.join(ids, "id").select("id", "first.*"), "candidate_documents"))
+    key = (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == wanted["doc"]) & (slim["text_hash"] == wanted["text_hash"])
+    texts = slim.join(wanted, key).select("id", "text")
+    sets = pa.schema([("id", pa.int64()), ("held", pa.list_(pa.int32()))])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(shingles(t.as_py(), words).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32()))], schema=sets)
+
+    held = staged(texts.mapInArrow(hashed, "id long, held array<int>").dropDuplicates(["id"]), "candidate_shingles")
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("held").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
+    tree = components(both.where(F.col("common") >= similarity * (F.col("all") - F.col("common")) - 1e-9).select("a", "b"))
+    named = classes.join(tree, classes["id"] == tree["node"], "left").select("id", "first_id", F.coalesce("root", "id").alias("group"))
+    first = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    of = staged(named.join(first, "group").select("id", "group", "component_id"), "class_groups")
+    return rows.join(of, "id").select("doc_id", "text_hash", "group", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) that are first of their group of near-duplicates, with the same columns.
 
     First is the row of least doc_id, and among equal ones of least text hash; of
     rows that agree in both, one stays. Rows without a doc_id come last.
     """
-    groups = staged(near_duplicates(docs.select("doc_id", "text"), words, bits, with_hash=True), "groups")
+    groups = staged(similar_documents(docs.select("doc_id", "text"), words, similarity), "groups")
     least = groups.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), "text_hash")).alias("m"))
-    kept = least.select(F.col("m.i").alias("_kept_id"), F.col("m.text_hash").alias("_kept_hash"))
-    key, mark = fresh(docs, "dedup_id", "dedup_hash")
-    keyed = docs.withColumn(key, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(mark, F.xxhash64("text"))
-    rows = keyed.join(kept, (F.col(key) == F.col("_kept_id")) & (F.col(mark) == F.col("_kept_hash"))).select(*docs.columns, key, mark)
+    key, mark, kept_id, kept_hash = fresh(docs, "dedup_id", "dedup_hash", "kept_id", "kept_hash")
+    kept = least.select(F.col("m.i").alias(kept_id), F.col("m.text_hash").alias(kept_hash))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(mark, F.xxhash64("text"))
+    rows = keyed.join(kept, (F.col(key) == F.col(kept_id)) & (F.col(mark) == F.col(kept_hash))).select(*docs.columns, key, mark)
     return rows.dropDuplicates([key, mark]).select(*docs.columns)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import mixing as M
 from marlstone.llm import sharding as H
+from marlstone.llm.common import numbered, repeated, row_hash
 
 
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -62,19 +63,53 @@ def test_expected_copies_are_kept(make, words):
 
 def test_mixed_rows(corpus):
     docs, texts, _ = corpus
-    wide = docs.withColumn("mix_id", F.lit("mine")).withColumn("copies", F.lit(1))
+    clashing = ("mix_key", "mix_other", "mix_size", "mix_rank", "taken_key", "_mixed_id", "_mixed_size", "copies", "target")
+    wide = docs.select("*", *[F.lit(c).alias(c) for c in clashing])
     out = M.mixed(wide)
     assert out.columns == wide.columns
-    want = {r["doc_id"]: r["copies"] for r in M.mix(docs).collect() if r["copies"]}
-    assert Counter(r["doc_id"] for r in out.collect()) == want
+    got = Counter(r["doc_id"] for r in out.collect())
+    want = {r["doc_id"]: r["copies"] for r in M.mix(wide, identity=row_hash(wide, 1)).withColumnRenamed("doc_id", "k").join(wide.select("doc_id", row_hash(wide, 1).alias("k")), "k").collect() if r["copies"]}
+    assert got == want
+    sizes, taken, longest = Counter(), Counter(), Counter()
+    for i, (t, s) in enumerate(zip(texts, docs_sources(corpus), strict=True)):
+        n = len((t or "").encode().split())
+        sizes[s] += n
+        taken[s] += n * got[i]
+        longest[s] = max(longest[s], n)
+    assert all(abs(taken[s] - x) <= longest[s] for s, x in brute_targets(sizes).items())
     assert M.mix(docs.limit(0)).count() == 0
     assert M.mix(docs.drop("source")).count() == len(texts)
 
 
+def docs_sources(corpus):
+    return corpus[2]
+
+
+def test_equal_rows_without_ids(spark):
+    """A third of all rows is one row without an id: they are counted, spread over blocks, and come back as often as they are taken."""
+    rows = [(None, "a b c", "s")] * 3000 + [(i, "d e", "t") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter((r["doc_id"] is None) for r in M.mixed(docs).collect())
+    target = {r["source"]: r["target"] for r in M.targets(docs.selectExpr("source", "size(split(text, ' ')) as size")).collect()}
+    assert abs(3 * taken[True] - target["s"]) <= 3 and abs(2 * taken[False] - target["t"]) <= 2
+    out = H.sharded(docs, shards=4).collect()
+    assert len({(r["shard"], r["slot"]) for r in out}) == 9000 and sum(r["doc_id"] is None for r in out) == 3000
+
+
+def test_repeated_and_numbered(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 9001), ("c", 1)], "x string, n long")
+    got = repeated(df, "n", "copy").groupBy("x").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m")).collect()
+    assert {tuple(r) for r in got} == {("a", 3, 3, 3), ("b", 9001, 9001, 9001), ("c", 1, 1, 1)}
+    many = spark.range(1000).select(F.when(F.col("id") > 0, F.concat(F.lit("s"), "id")).alias("s")).repartition(5)
+    order = [r["s"] for r in numbered(many, F.col("s").asc_nulls_last(), "at").orderBy("at").collect()]
+    assert order == [*sorted(f"s{i}" for i in range(1, 1000)), None]
+    assert numbered(many.limit(0), F.col("s").asc(), "at").count() == 0
+
+
 def test_shards_are_exact_and_gapless(corpus, monkeypatch):
     docs, texts, _ = corpus
     monkeypatch.setattr(H, "LOCAL_ROWS", 5)  # many blocks and parts
-    wide = docs.withColumn("shard", F.lit("old")).withColumn("sh_key", F.lit(1))
+    wide = docs.select("*", *[F.lit(c).alias(c) for c in ("shard", "sh_key", "sh_rank", "_k1", "_k2", "k1", "copy")])
     out = H.sharded(wide, shards=7)
     rows = out.collect()
     slots = defaultdict(list)

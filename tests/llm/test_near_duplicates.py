@@ -89,6 +89,52 @@ def test_one_of_each_keeps_columns_and_ids(make, words, spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def edited(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
+    return " ".join(w)
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_against_brute_force(make, words):
+    """Of pairs with a similarity of 0.8 or more at most a twentieth is missed; none below it is linked."""
+    from random import Random
+
+    rng, texts, pairs = Random(1), [], []
+    for s in range(150):
+        n = (60, 120, 300, 900)[s % 4]
+        a = words(n, 1000 + s)
+        b = edited(rng, a, rng.randint(1, max(2, n // 35)))
+        pairs.append((len(texts), len(texts) + 1, jaccard(a, b) >= 0.8))
+        texts += [a, b]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(make(texts)).collect()}
+    met = [got[a] == got[b] for a, b, close in pairs if close]
+    assert len(met) > 70 and sum(met) >= 0.95 * len(met)
+    assert not any(got[a] == got[b] for a, b, close in pairs if not close)
+
+
+def test_a_large_group_is_one(make, words, monkeypatch):
+    from random import Random
+
+    monkeypatch.setattr(simhash, "PAIRED", 10)
+    rng, hub = Random(2), words(200, 77)
+    texts = [edited(rng, hub, 2) for _ in range(150)] + [hub] * 5 + [words(200, 78)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(make(texts)).collect()}
+    assert len({got[i] for i in range(155)}) == 1 and got[155] == 155
+
+
+def test_one_of_each_with_clashing_columns(make, words):
+    clashing = ("dedup_id", "dedup_hash", "_kept_id", "kept_id", "kept_hash", "group", "component_id", "text_hash", "id", "fp")
+    docs = make([words(90, 1), words(90, 1) + " x", None, ""]).select("*", *[F.lit(c).alias(c) for c in clashing])
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
 def test_null_ids(spark, words):
     rows = spark.createDataFrame([(None, words(60, 1)), (5, words(60, 1)), (None, words(60, 2))], "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(rows).collect()}
