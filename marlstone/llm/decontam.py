@@ -6,7 +6,8 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from itertools import repeat
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import ready, table
+from marlstone.llm.common import dropped, ready, staged, table
 
 #: Punctuation of ASCII reads as a space.
 _PLAIN = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
@@ -187,23 +188,24 @@ ITEMS_BYTES = 32 << 20
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.5, 0.5
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """Indexes over all items, one for each block of bounded size; document frequencies and lengths count all items."""
+def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Callable[[], Index]]:
+    """Makers of indexes over all items, one for each block of bounded size; document frequencies and lengths count all items."""
     slim = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     if size <= ITEMS_BYTES:
-        return [Index([tuple(r) for r in slim.collect()])]
+        return [lambda: Index([tuple(r) for r in slim.collect()])]
     n = -(-size // ITEMS_BYTES) * 2
     words = F.udf(lambda t: [w.decode("utf-8", "replace") for w in plain_words(t)], "array<string>", useArrow=True)
-    split = slim.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")).withColumn("words", words("text"))
+    split = staged(slim.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")).withColumn("words", words("text")), "items")
     total = split.where(F.size("words") > 0).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     terms = split.select("block", F.explode(F.array_distinct("words")).alias("w"))
-    df = terms.groupBy("w").count()
-    out = []
-    for block in range(n):
+    df = staged(terms.groupBy("w").count(), "item_terms")
+
+    def make(block: int) -> Index:
         own = {r["w"].encode(): r["count"] for r in terms.where(F.col("block") == block).select("w").distinct().join(df, "w").collect()}
-        out.append(Index([(r["item_id"], r["text"]) for r in split.where(F.col("block") == block).select("item_id", "text").collect()], own, total["n"], total["mean"]))
-    return out
+        return Index([(r["item_id"], r["text"]) for r in split.where(F.col("block") == block).select("item_id", "text").collect()], own, total["n"], total["mean"])
+
+    return [partial(make, block) for block in range(n)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
@@ -215,38 +217,58 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     most ITEMS_BYTES, so what is broadcast is bounded; documents are not shuffled.
     """
     ready(docs.sparkSession)
-    slim = docs.select("doc_id", "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("passage_start", pa.int64())])
-    results = []
-    for index in indexes(items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def found_in(sent) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(i, *found) for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for found in sent.value.search(text.as_py(), threshold, question, answer)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-        results.append(slim.mapInArrow(work, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"))
-    first, *rest = results
-    for r in rest:
-        first = first.unionByName(r)
-    return first
+        return slim.mapInArrow(work, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
+
+    makers = indexes(items)
+    if len(makers) == 1:
+        return found_in(docs.sparkSession.sparkContext.broadcast(makers[0]()))
+    results = []
+    for make in makers:  # one index at a time in the driver and the workers
+        sent = docs.sparkSession.sparkContext.broadcast(make())
+        results.append(staged(found_in(sent), "contaminated"))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, results)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with all their columns."""
+    """The rows of ``docs`` that hold no test item, with all their columns.
+
+    A null or empty text holds none. Repeated rows are judged alike; an empty table
+    gives no rows. Items beyond one block are searched block by block, in what the
+    blocks before left.
+    """
     ready(docs.sparkSession)
     at = docs.columns.index("text")
-    for index in indexes(items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def kept_by(docs: DataFrame, sent) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not sent.value.search(t.as_py(), threshold, question, answer) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(work, docs.schema)
-    return docs
+        return docs.mapInArrow(work, docs.schema)
+
+    makers = indexes(items)
+    if len(makers) == 1:
+        return kept_by(docs, docs.sparkSession.sparkContext.broadcast(makers[0]()))
+    left = None
+    for make in makers:
+        sent = docs.sparkSession.sparkContext.broadcast(make())
+        new = staged(kept_by(docs if left is None else left, sent), "uncontaminated")
+        if left is not None:
+            dropped(left)
+        left = new
+        sent.destroy()
+    return left
 
 
 def op9_bm25_block_max(spark, sf_dir: str) -> DataFrame:

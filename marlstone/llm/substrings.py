@@ -15,6 +15,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ WINDOW, RUN = 50, 8
 BYTE_BASE, WORD_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bytes hashed at a time, rows of a bucket sorted at a time.
 CHUNK, ROWS = 1 << 20, 4096
-#: A minimiser in more documents than this has its windows counted one by one, by an aggregate over all tasks.
-HOT = 20_000
+#: A minimiser of more windows than this has them counted one by one, by an aggregate over all tasks.
+HOT = 400_000
 
 
 @cache
@@ -109,28 +110,38 @@ def _stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.nonzero(edge == -1)[0] - starts
 
 
+def window_classes(words: list[bytes], window: int) -> np.ndarray:
+    """For each run of ``window`` words a number that equal runs alone share.
+
+    Words are numbered, then pairs of neighbouring runs of 1, 2, 4, ... words, each
+    time by sorting; so equality is that of the words themselves, not of hashes.
+    """
+    ids: dict[bytes, int] = {}
+    code, size = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)), 1
+    while size < window and len(code):
+        step = min(size, window - size)
+        code = np.unique(code[: len(code) - step] * (code.max() + 1) + code[step:], return_inverse=True)[1]
+        size += step
+    return code
+
+
 def _judge(rows: list[tuple[int, int, int, bytes]], window: int) -> tuple[list, list, list, list]:
     """Of super-k-mers (doc, text_hash, first window, words), all those of some minimisers: stretches of windows that a lesser doc has too."""
-    one, two, docs, owner, sizes = [], [], [], [], []
-    for k, (doc, _, _, words) in enumerate(rows):
-        h = word_hashes(words.split(b" "))
-        n = len(h) - window + 1
-        one.append(_runs(h, window, WORD_BASES[0]))
-        two.append(_runs(h, window, WORD_BASES[1]))
-        docs.append(np.full(n, doc, np.int64))
-        owner.append(k)
-        sizes.append(n)
-    a, b, d = np.concatenate(one), np.concatenate(two), np.concatenate(docs)
-    order = np.lexsort((b, a))
-    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+    split = [words.split(b" ") for *_, words in rows]
+    code = window_classes([w for words in split for w in words], window)
+    ends = np.cumsum([len(words) for words in split])
+    sizes = [len(words) - window + 1 for words in split]
+    at = np.concatenate([np.arange(end - n - window + 1, end - window + 1) for end, n in zip(ends.tolist(), sizes, strict=True)])
+    code, d = code[at], np.repeat(np.array([row[0] for row in rows], np.int64), sizes)
+    order = np.argsort(code, kind="stable")
+    new = np.concatenate(([True], code[order][1:] != code[order][:-1]))
     least = np.minimum.reduceat(d[order], np.nonzero(new)[0])[np.cumsum(new) - 1]
     gone = np.zeros(len(d), bool)
     gone[order] = least < d[order]
     out: tuple[list, list, list, list] = ([], [], [], [])
     at = 0
-    for k, n in zip(owner, sizes, strict=True):
+    for (doc, text_hash, first, _), n in zip(rows, sizes, strict=True):
         starts, lengths = _stretches(gone[at : at + n])
-        doc, text_hash, first, _ = rows[k]
         for s, m in zip(starts.tolist(), lengths.tolist(), strict=True):
             for column, x in zip(out, (doc, text_hash, first + s, m), strict=True):
                 column.append(x)
@@ -147,17 +158,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot:
     ``docs`` is (doc, text_hash, text). First the minimisers alone are counted;
     super-k-mers leave their document only if another one has their minimiser.
     """
-    heads = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("least", pa.int64())])
+    heads = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("least", pa.int64()), ("windows", pa.int64())])
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(minimisers(word_hashes(_split(t.as_py())), window, run)).view(np.int64) for t in batch.column(2)]
-            rows = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            found = [np.unique(minimisers(word_hashes(_split(t.as_py())), window, run), return_counts=True) for t in batch.column(2)]
+            rows = np.repeat(np.arange(batch.num_rows), [len(f) for f, _ in found])
             if len(rows):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(np.concatenate(found))], schema=heads)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(np.concatenate([f for f, _ in found]).view(np.int64)), pa.array(np.concatenate([n for _, n in found]).astype(np.int64))], schema=heads)
 
-    seen = staged(docs.mapInArrow(head, "doc long, text_hash long, least long"), "minimisers")
-    spread = seen.groupBy("least").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b")
+    seen = staged(docs.mapInArrow(head, "doc long, text_hash long, least long, windows long"), "minimisers")
+    spread = seen.groupBy("least").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.sum("windows").alias("n")).where("a < b")
     wanted = seen.join(spread.select("least", (F.col("n") > hot).alias("hot")), "least").groupBy(F.col("doc").alias("w_doc"), F.col("text_hash").alias("w_hash")).agg(
         F.collect_set(F.when(~F.col("hot"), F.col("least"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("least"))).alias("warm"))
     sent = pa.schema([("least", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int64()), ("words", pa.binary()), ("other", pa.int64())])
@@ -175,7 +186,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot:
                     rows.append((int(of[k]), doc, text_hash, int(starts[k]), b" ".join(words[starts[k] : starts[k] + sizes[k] + window - 1]), 0))
                 if warm:
                     at = np.nonzero(np.isin(least.view(np.int64), np.array(warm, np.int64)))[0]
-                    one, two = (_runs(hashes, window, b)[at].view(np.int64).tolist() for b in WORD_BASES)
+                    other = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))  # not of the same kind, so that words which collide in one differ in the other
+                    one, two = (_runs(h, window, b)[at].view(np.int64).tolist() for h, b in zip((hashes, other), WORD_BASES, strict=True))
                     rows.extend((h, doc, text_hash, i, None, g) for h, i, g in zip(one, at.tolist(), two, strict=True))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), sent, strict=True)], schema=sent)
@@ -222,7 +234,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot:
     """
     ready(docs.sparkSession)
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
-    found = repeated_windows(slim, window, run, hot).groupBy(F.col("doc").alias("f_doc"), F.col("text_hash").alias("f_hash")).agg(F.collect_list(F.struct("first", "n")).alias("found"))
+    found = repeated_windows(slim, window, run, hot).groupBy(F.col("doc").alias("f_doc"), F.col("text_hash").alias("f_hash")).agg(F.collect_set(F.struct("first", "n")).alias("found"))
     both = slim.join(found, (slim["doc"] == found["f_doc"]) & (slim["text_hash"] == found["f_hash"]), "left")
     out = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import NO_ID, ready, shared_root, staged, table
 
 MAGIC, END = b"MSTOKEN1", 2
+#: Bytes of text that a shard holds, about; there are at least as many shards as shuffle partitions.
+SHARD_BYTES = 256 << 20
 #: Words whose ids a worker remembers; more are encoded anew each time.
 MEMORY = 700_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -226,7 +228,8 @@ def write_shards(docs: DataFrame, folder: str, tokeniser: str, end: int = END) -
     """
     ready(docs.sparkSession)
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     dealt = ordered.repartitionByRange(n, "doc", "text_hash").sortWithinPartitions("doc", "text_hash")
     out = pa.schema([("name", pa.string()), ("low", pa.int64()), ("low_hash", pa.int64()), ("high", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
@@ -299,7 +302,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=out)
 
     spread = manifest.select("name", "first_id", "shard")
-    spread = spread.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard").select("name", "first_id")
+    spread = spread.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count()), "shard").select("name", "first_id")
     done = spread.mapInArrow(work, "doc long, start long, n_tokens long, ids_crc32 long")
     return done.select(F.nullif(F.col("doc"), F.lit(NO_ID)).alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
