@@ -16,13 +16,21 @@ def higher_order(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(F.filter(words, lambda w: F.length(w) > 8)).cast("long").alias("long_words"), F.array_max(F.transform(words, lambda w: F.length(w))).cast("long").alias("longest"))
 
 
-@query("""SELECT vec_id, i - 1 AS at, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 4) r(i) WHERE vec_id < 100""")
+@query("""SELECT vec_id, i - 1 AS at, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i)""")
 def exploded(t: Tables) -> DataFrame:
-    """posexplode of an array's first elements."""
-    return t.embeddings.where("vec_id < 100").select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("at", "x")).select("vec_id", F.col("at").cast("long").alias("at"), F.col("x").cast("double").alias("x"))
+    """posexplode of whole arrays."""
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("at", "x")).select("vec_id", F.col("at").cast("long").alias("at"), F.col("x").cast("double").alias("x"))
 
 
 @query("""SELECT n_nationkey, CAST(n_regionkey AS INTEGER) AS via_map FROM nation""")
 def maps(t: Tables) -> DataFrame:
     """A map built from entries and read by key."""
     return t.nation.select("n_nationkey", F.map_from_entries(F.array(F.struct("n_name", "n_regionkey")))[F.col("n_name")].alias("via_map"))
+
+
+@query("""SELECT vec_id, CAST(embedding[65] AS DOUBLE) AS past, CAST(embedding[1] AS DOUBLE) AS first_one, CAST(embedding[64] AS DOUBLE) AS last_one FROM embeddings""")
+def array_access(t: Tables) -> DataFrame:
+    """get and try_element_at give null out of range, where ``[]`` and element_at raise; get counts from 0, element_at from 1 or from the end."""
+    e = F.col("embedding")
+    past = F.coalesce(F.get(e, F.lit(64)), F.try_element_at(e, F.lit(65)))
+    return t.embeddings.select("vec_id", past.cast("double").alias("past"), e[0].cast("double").alias("first_one"), F.element_at(e, -1).cast("double").alias("last_one"))

@@ -21,3 +21,10 @@ def math_functions(t: Tables) -> DataFrame:
 def histogram(t: Tables) -> DataFrame:
     """Rows in bands of equal width."""
     return t.customer.groupBy(F.floor(F.col("c_acctbal") / 1000).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey, CAST(trunc(c_acctbal) AS INTEGER) AS whole, CAST(round_even(c_acctbal, 0) AS DOUBLE) AS even FROM customer""")
+def casts_to_whole(t: Tables) -> DataFrame:
+    """A cast of a double to an integer cuts the fraction off; bround rounds halves to even."""
+    x = F.col("c_acctbal")
+    return t.customer.select("c_custkey", x.cast("int").alias("whole"), F.bround(x, 0).cast("double").alias("even"))

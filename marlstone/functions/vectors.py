@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.plans.registry import query
@@ -21,12 +21,25 @@ def vector_norm(t: Tables) -> DataFrame:
 
 
 @query("""SELECT q AS query_id, vec_id FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) DESC, b.vec_id) AS r
-FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND a.vec_id <> b.vec_id) WHERE r <= 3""")
+FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE r <= 3""")
 def nearest_vectors(t: Tables) -> DataFrame:
-    """Three nearest neighbours of five query vectors, by one pass over the rest; max_by keeps them as tasks go."""
-    queries = F.broadcast(t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = t.embeddings.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot(F.col("q"), F.col("embedding")).alias("s"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-    return scored.withColumn("r", F.row_number().over(w)).where("r <= 3").select("query_id", "vec_id")
+    """Three nearest neighbours of every fiftieth vector among all others."""
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return nearest(queries, t.embeddings, 3)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """(query_id, vec_id): the ``k`` vectors of greatest dot product with each of ``queries`` (query_id, q), itself left out; least vec_id at ties.
+
+    Queries are sent to all vectors in blocks of about ``block`` rows, which bounds
+    each broadcast; the window keeps k rows a query in each task before it shuffles.
+    """
+    n = max(1, -(-queries.count() // block))
+    best = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
+    out = None
+    for b in range(n):
+        sent = F.broadcast(queries.where(F.pmod(F.hash("query_id"), F.lit(n)) == b))
+        scored = vectors.join(sent, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot(F.col("q"), F.col("embedding")).alias("s"))
+        found = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("query_id", "vec_id")
+        out = found if out is None else out.unionByName(found)
+    return out

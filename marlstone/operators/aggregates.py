@@ -140,8 +140,16 @@ def empty_input(t: Tables) -> DataFrame:
     return t.orders.where("o_orderkey < 0").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
 
 
+@query("""SELECT o_orderstatus, min(o_orderpriority) AS usual FROM (SELECT o_orderstatus, o_orderpriority, rank() OVER (PARTITION BY o_orderstatus ORDER BY n DESC) AS r
+FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority)) WHERE r = 1 GROUP BY o_orderstatus""")
+def most_frequent(t: Tables) -> DataFrame:
+    """mode; of equally frequent values the least."""
+    return sql(t.spark, t.sf_dir, "SELECT o_orderstatus, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS usual FROM {orders} GROUP BY o_orderstatus", "orders")
+
+
 @query()
 def sketches(t: Tables) -> DataFrame:
     """Mergeable sketches: distinct users by HyperLogLog, a quantile by KLL; approximate, so without an exact twin."""
     return sql(t.spark, t.sf_dir, """SELECT event_type, approx_count_distinct(user_id) AS users, hll_sketch_estimate(hll_sketch_agg(user_id)) AS users_hll,
-      kll_sketch_get_quantile_double(kll_sketch_agg_double(value), 0.5) AS median FROM {events} GROUP BY event_type""", "events")
+      kll_sketch_get_quantile_double(kll_sketch_agg_double(value), 0.5) AS median,
+      size(histogram_numeric(value, 8)) AS bars, length(count_min_sketch(user_id, 0.01d, 0.95d, 1)) AS count_min_bytes FROM {events} GROUP BY event_type""", "events")

@@ -17,24 +17,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def as_of(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, values: list[str], bucket: float | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, values: list[str], bucket: float | None = None, tie: list[str] | None = None) -> DataFrame:
     """Each row of ``left`` with ``values`` of the last row of ``right`` at or before it, by key ``on``; null if there is none.
 
     One shuffle of the union and a running window, so a key's work is linear in
-    its rows. Right rows come first at equal times. ``bucket`` cuts each key's time
+    its rows. Right rows come first at equal times; of right rows at one time the
+    greatest by ``tie`` counts (by ``values``, if none are given), nulls least. A
+    null key or time matches nothing, as in SQL: such right rows are left out, and
+    such left rows are dealt to tasks at random and get null. ``bucket`` cuts each key's time
     into spans of so many seconds (or units, for numbers), which become tasks of
     their own; a hot key is then split, and only the last right row of each span is
     carried to the next.
     """
     kind, number = F.struct(*[F.col(v).alias(f"_v_{v}") for v in values]), lambda c: F.col(c).cast("timestamp").cast("double") if "timestamp" in right.schema[right_ts].dataType.simpleString() else F.col(c).cast("double")
     span = F.lit(0).cast("long") if bucket is None else F.floor(number("_t") / bucket)
+    lost = F.col("_k").isNull() | F.col("_t").isNull()
     lhs = left.select(F.col(on).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
-    rhs = right.select(F.col(on).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), kind.alias("_r"))
-    both = lhs.unionByName(rhs, allowMissingColumns=True).withColumn("_span", span)
-    w = Window.partitionBy("_k", "_span").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    lhs = lhs.withColumn("_span", F.when(lost, F.monotonically_increasing_id() % 4096).otherwise(span)).withColumn("_k", F.when(~lost, F.col("_k")))
+    rhs = right.select(F.col(on).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), kind.alias("_r"), F.struct(*(tie or values)).alias("_tie")).where(~lost).withColumn("_span", span)
+    both = lhs.unionByName(rhs, allowMissingColumns=True)
+    w = Window.partitionBy("_k", "_span").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_last", F.last_value("_r", F.lit(True)).over(w)).where("_side = 1")
     if bucket is not None:
-        ends = rhs.withColumn("_span", span).groupBy("_k", "_span").agg(F.max_by("_r", "_t").alias("_r"))
+        ends = rhs.groupBy("_k", "_span").agg(F.max_by("_r", F.struct("_t", "_tie")).alias("_r"))
         asked = both.select("_k", "_span").distinct().withColumn("_r", F.lit(None).cast(ends.schema["_r"].dataType))
         before = Window.partitionBy("_k").orderBy("_span").rangeBetween(Window.unboundedPreceding, -1)
         carried = ends.unionByName(asked).withColumn("_c", F.last_value("_r", F.lit(True)).over(before)).groupBy("_k", "_span").agg(F.max("_c").alias("_c"))
@@ -139,6 +144,15 @@ def join_as_of_split(t: Tables) -> DataFrame:
     return out.select("event_id", F.col("view_as_of").alias("view_id"))
 
 
+@query("""SELECT a.name, b.v FROM (VALUES (1, 5, 'a'), (1, 1, 'b'), (2, 9, 'c'), (NULL, 5, 'd'), (1, NULL, 'e'), (NULL, NULL, 'f')) a(k, t, name)
+ASOF LEFT JOIN (VALUES (1, 4, 50), (1, 2, 20), (NULL, 3, 10), (1, NULL, 30), (2, 10, 60)) b(k, t, v) ON a.k = b.k AND a.t >= b.t""")
+def join_as_of_nulls(t: Tables) -> DataFrame:
+    """Null keys and times match nothing."""
+    left = t.spark.sql("SELECT * FROM VALUES (1, 5, 'a'), (1, 1, 'b'), (2, 9, 'c'), (NULL, 5, 'd'), (1, NULL, 'e'), (NULL, NULL, 'f') a(k, t, name)")
+    right = t.spark.sql("SELECT * FROM VALUES (1, 4, 50), (1, 2, 20), (NULL, 3, 10), (1, NULL, 30), (2, 10, 60) b(k, t, v)")
+    return as_of(left, right, "k", "t", "t", ["v"], bucket=3).select("name", F.col("v_as_of").alias("v"))
+
+
 @query("""SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)""")
 def join_lateral(t: Tables) -> DataFrame:
     """The dearest order of each customer."""
@@ -171,7 +185,7 @@ JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey WHERE r_nam
 def local_supplier_revenue(t: Tables) -> DataFrame:
     """Six tables: revenue within a region from suppliers of the customer's nation."""
     nations = t.nation.join(t.region.where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name")
-    customers = t.customer.join(small(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_name")
+    customers = t.customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_name")
     orders = t.orders.select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     own = lines.join(t.supplier, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))

@@ -52,16 +52,16 @@ def except_all(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_nationkey").alias("k")).exceptAll(t.supplier.select("s_nationkey"))
 
 
-@query("""SELECT p_partkey AS k FROM part WHERE p_size < 30 INTERSECT SELECT p_partkey FROM part WHERE p_retailprice > 1200""")
+@query("""SELECT p_partkey AS k FROM part WHERE p_size < 30 INTERSECT SELECT p_partkey FROM part WHERE p_retailprice > 950""")
 def intersect_distinct(t: Tables) -> DataFrame:
     """INTERSECT."""
-    return t.part.where("p_size < 30").select(F.col("p_partkey").alias("k")).intersect(t.part.where("p_retailprice > 1200").select("p_partkey"))
+    return t.part.where("p_size < 30").select(F.col("p_partkey").alias("k")).intersect(t.part.where("p_retailprice > 950").select("p_partkey"))
 
 
-@query("""SELECT p_partkey AS k FROM part WHERE p_size < 30 EXCEPT SELECT p_partkey FROM part WHERE p_retailprice > 1200""")
+@query("""SELECT p_partkey AS k FROM part WHERE p_size < 30 EXCEPT SELECT p_partkey FROM part WHERE p_retailprice > 950""")
 def except_distinct(t: Tables) -> DataFrame:
     """EXCEPT."""
-    return t.part.where("p_size < 30").select(F.col("p_partkey").alias("k")).subtract(t.part.where("p_retailprice > 1200").select("p_partkey"))
+    return t.part.where("p_size < 30").select(F.col("p_partkey").alias("k")).subtract(t.part.where("p_retailprice > 950").select("p_partkey"))
 
 
 @query("""SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders""")

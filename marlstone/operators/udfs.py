@@ -85,10 +85,9 @@ def partition_map(t: Tables) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            big = batch.filter(pc.greater(batch["p_size"], 25))
-            yield pa.RecordBatch.from_arrays([big["p_partkey"], pc.utf8_upper(big["p_brand"])], names=["p_partkey", "brand"])
+            yield pa.RecordBatch.from_arrays([batch["p_partkey"], pc.utf8_upper(batch["p_brand"])], names=["p_partkey", "brand"])
 
-    return t.part.select("p_partkey", "p_brand", "p_size").mapInArrow(work, "p_partkey long, brand string")
+    return t.part.where("p_size > 25").select("p_partkey", "p_brand").mapInArrow(work, "p_partkey long, brand string")
 
 
 @query("""SELECT c_custkey, round(c_acctbal * 2 + 1, 2) AS y FROM customer""")

@@ -177,3 +177,21 @@ def stream_state(t: Tables) -> DataFrame:
 def stream_batches(t: Tables) -> DataFrame:
     """A sink of our own by foreachBatch."""
     return run(stream(t).select("event_id"), "update")
+
+
+@query("""SELECT event_type, count(*) AS n FROM events GROUP BY event_type""")
+def stream_sorted(t: Tables) -> DataFrame:
+    """A sort, which streams allow in complete mode after an aggregate."""
+    return run(stream(t).groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type"), "complete")
+
+
+@query("""SELECT 100 AS n""")
+def stream_limit(t: Tables) -> DataFrame:
+    """A limit on a stream: rows in all, which rows being open."""
+    return run(stream(t).select("event_id").limit(100)).agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""SELECT DISTINCT user_id, event_type FROM events""")
+def stream_drop_duplicates(t: Tables) -> DataFrame:
+    """Each pair once, with state that grows with the number of pairs."""
+    return run(stream(t).select("user_id", "event_type").dropDuplicates())

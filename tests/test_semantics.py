@@ -27,11 +27,14 @@ def test_overflow_raises(spark):
         spark.sql("SELECT 9223372036854775807 + x FROM VALUES (1L) v(x)").collect()
 
 
-def test_as_of_ties_and_nulls(spark):
-    left = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 9, "c")], "k int, t int, name string")
-    right = spark.createDataFrame([(1, 5, 50), (1, 2, 20), (1, 5, None)], "k int, t int, v int")
-    got = {r["name"]: r["v_as_of"] for r in as_of(left, right, "k", "t", "t", ["v"]).collect()}
-    assert got["b"] is None and got["c"] is None and got["a"] in (50, None)
+@pytest.mark.parametrize("bucket", [None, 2])
+def test_as_of_ties_and_nulls(spark, bucket):
+    left = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 9, "c"), (None, 5, "d"), (1, None, "e"), (1, 8, "f")], "k int, t int, name string")
+    right = spark.createDataFrame([(1, 5, 50, 1), (1, 2, 20, 0), (1, 5, None, 2), (None, 1, 10, 0), (1, None, 30, 0)], "k int, t int, v int, at int")
+    got = {r["name"]: r["v_as_of"] for r in as_of(left, right, "k", "t", "t", ["v"], bucket).collect()}
+    assert got == {"a": 50, "b": None, "c": None, "d": None, "e": None, "f": 50}
+    got = {r["name"]: r["v_as_of"] for r in as_of(left, right, "k", "t", "t", ["v"], bucket, tie=["at"]).collect()}
+    assert got == {"a": None, "b": None, "c": None, "d": None, "e": None, "f": None}
 
 
 def test_range_join_equals_nested_loop(spark):
