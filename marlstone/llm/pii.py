@@ -236,19 +236,21 @@ def _date(m: Column, key: str) -> Column:
         return bind(ordinal(*parts), lambda x: F.when(x.isNotNull(), bind(moved(x, "date"), written(style))))
 
     def slashed() -> Column:
-        """Month first where that is a date; else day first, permuted among days that can only be read so."""
-        only = lambda x: F.dayofmonth(F.date_add(epoch, x.cast("int"))) > 12
-        walk = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(64)), moved(x, "day"), lambda y, _: F.when(only(y), y).otherwise(moved(y, "day")))
-        other = bind(ordinal(*day_first), lambda x: F.when(x.isNotNull(), bind(walk(x), written("dd/MM/yyyy"))))
-        return F.coalesce(plain(month_first, "MM/dd/yyyy"), other)
+        """Month first where that is a date, else day first. The new date is written day first only where it can't be read month first, so it reads as itself."""
+        late = lambda y: F.dayofmonth(F.date_add(epoch, y.cast("int"))) > 12
+        either = lambda y: F.when(late(y), written("dd/MM/yyyy")(y)).otherwise(written("MM/dd/yyyy")(y))
+        return F.coalesce(plain(month_first, "MM/dd/yyyy"), bind(ordinal(*day_first), lambda x: F.when(x.isNotNull(), bind(moved(x, "date"), either))))
 
     return F.when(m.substr(5, 1) == "-", plain(iso, "yyyy-MM-dd")).when(m.substr(3, 1) == "/", slashed()).otherwise(plain(dotted, "dd.MM.yyyy"))
 
 
+#: Country calling codes are one digit (1, 7), two (these), or three.
+COUNTRY_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def _phone(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
-        lead = F.length(F.regexp_extract(m, r"^\+([0-9]+)", 1))
-        keep = F.when(lead <= 3, lead).otherwise(1)
+        keep = F.when(m.startswith("+"), F.length(F.regexp_extract(d, COUNTRY_CODE, 0))).otherwise(0)
         return F.when(F.length(d).between(8, 15), refilled(m, F.concat(d.substr(F.lit(1), keep), permuted_digits(d.substr(keep + 1, F.length(d) - keep), key, "phone"))))
 
     return bind(digits_of(m), new)
@@ -276,7 +278,7 @@ def pseudonym(m: Column, key: str) -> Column:
     return bind(kind, of)
 
 
-def pseudonymised(docs: DataFrame, key: str = "change-me", text_col: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the personal values of ``text_col`` replaced, and n_email, n_date, n_ip, n_iban, n_ssn, n_phone, n_card.
 
     Cards must pass Luhn's check and get a new valid check digit; account numbers

@@ -2,6 +2,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from marlstone.llm import decontam, mixing, quality
@@ -63,3 +64,17 @@ def test_stages_do_what_their_operators_say(steps, spark, sf_dir):
 
 def test_run_agrees_with_the_stages(steps, spark, sf_dir):
     assert sorted(C.run(spark, sf_dir).select("doc_id", "shard", "slot").collect()) == sorted(steps["sharding"][1].select("doc_id", "shard", "slot").collect())
+
+
+def test_odd_rows_in_every_stage(spark, sf_dir, words, odd):
+    """Nulls in every column, empty and long texts, repeats, ties in doc_id, columns with names of the library's own, and no rows."""
+    texts = [*odd, words(80, 1), words(80, 1), words(80, 2), words(80, 3) + " tail"]
+    rows = [(None if i % 5 == 4 else i // 2, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "web", None) for i, t in enumerate(texts)] * 2
+    clashing = ("id", "fp", "group", "k1", "copy", "rank", "kept", "text_hash", "source_size", "_k1", "_kept_id", "_mixed_id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(c).alias(c) for c in clashing])
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == [*docs.columns, *(["shard", "slot"] if name == "sharding" else [])], name
+        kept = out.select("doc_id", "text").collect()
+        assert {tuple(r) for r in kept} <= {(r[0], r[1]) for r in rows}, name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
