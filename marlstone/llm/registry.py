@@ -13,6 +13,7 @@ from marlstone.llm.sharding import op6_hypergeometric_shards
 from marlstone.llm.simhash import op5_simhash_golay
 from marlstone.llm.substrings import op3_super_kmers
 from marlstone.llm.tokenbin import op8_perfect_hash_shards
+from marlstone.llm.tokencount import op13_rank_synchronous
 
 QUERIES = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_perfect_hash_shards": op8_perfect_hash_shards,
     "op9_bm25_block_max": op9_bm25_block_max,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op13_rank_synchronous": op13_rank_synchronous,
     "pipeline": run,
 }
 
