@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpus_pipeline import run
-from marlstone.llm import negatives
+from marlstone.llm import lexical, negatives
 from marlstone.llm.decontam import op9_bm25_block_max
 from marlstone.llm.lines import op10_fuzzy_lines
 from marlstone.llm.mixing import op2_pivotal_mix
@@ -28,8 +28,9 @@ QUERIES = {
     "op9_bm25_block_max": op9_bm25_block_max,
     "op10_fuzzy_lines": op10_fuzzy_lines,
     "op11_ball_tree": negatives.op11_ball_tree,
+    "op12_tput": lexical.op12_tput,
     "op13_rank_synchronous": op13_rank_synchronous,
     "pipeline": run,
 }
 
-ORACLES: dict[str, str] = {"op11_ball_tree": negatives.ORACLE}
+ORACLES: dict[str, str] = {"op11_ball_tree": negatives.ORACLE, "op12_tput": lexical.ORACLE}
