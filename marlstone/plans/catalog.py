@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.functions import arrays, dates, json, numbers, strings, vectors  # noqa: F401
-from marlstone.operators import aggregates, eventtime, filters, joins, sets, udfs, windows  # noqa: F401
+from marlstone.functions import arrays, dates, json, minhash, numbers, strings, vectors  # noqa: F401
+from marlstone.operators import aggregates, eventtime, filters, joins, selection, sets, udfs, windows  # noqa: F401
 from marlstone.plans.registry import QUERIES
-from marlstone.sources import files  # noqa: F401
+from marlstone.sources import files, tables  # noqa: F401
 from marlstone.streaming import events  # noqa: F401
 
 __all__ = ["QUERIES"]

@@ -33,6 +33,13 @@ def written(df: DataFrame, kind: str, **options: str) -> DataFrame:
     return df.sparkSession.read.format(kind).schema(df.schema).options(**options).load(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to files that executors share, and read back; whatever uses it several times sees the same rows."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query(_NATION)
 def parquet_files(t: Tables) -> DataFrame:
     """Parquet."""
