@@ -6,12 +6,12 @@ signature costs one sort of the hashes and no row moves. Two sets agree in a bin
 either fills with a probability of their Jaccard similarity. Bins in groups of four
 are join keys; a pair of similarity 0.8 shares none of the 32 keys once in twenty million.
 Candidates are held against each other by b-bit signatures (16 bits of each
-least hash), and what may still reach the threshold by the sets themselves.
+least hash); those that may still reach the threshold are compared by their sets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.graph import connected
@@ -22,17 +22,17 @@ from marlstone.sources.files import kept
 
 #: Hashes have 60 bits; the first 7 name the bin, the first 5 the key.
 BITS, BIN, BAND, B = 60, 7, 5, 16
-#: Sets of a key that are all compared with each other; of more, all with one of them, and the others by longer keys.
-FEW = 32
-#: Other keys that a crowded key is joined with, each in turn.
-LONGER = 8
+#: Sets of a key that are all compared with each other; of more, all with one of them, and the others in longer keys.
+FEW = 64
+#: Further keys that a crowded key is joined with, each in turn, and how many keys the longest is made of.
+LONGER, DEPTH = 8, 4
 
 
 def shingles(text: Column, words: int) -> Column:
-    """The distinct runs of so many words; a shorter text is one shingle, a text without words has none."""
+    """The runs of so many words, with repeats; a shorter text is one shingle, a text without words has none."""
     def runs(w: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1)))
-        return F.when(F.size(w) > 0, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, words), " ")))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(w) > 0, F.transform(at, lambda i: F.array_join(F.slice(w, i, words), " "))).otherwise(F.array().cast("array<string>"))
 
     split = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
     return F.element_at(F.transform(F.array(split), runs), 1)
@@ -81,8 +81,8 @@ class _Sets:
         one = self.members.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("mins").alias("mins"), F.min("text_hash").alias("text_hash"))
         self.one = kept(one.select("set", "n", "text_hash", b_bit(F.col("mins")).alias("sig"), keys(F.col("mins")).alias("keys")))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose sets reach the threshold.
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that may reach the threshold.
 
         The b-bit signatures leave out pairs that lie four standard errors beneath it.
         """
@@ -92,68 +92,80 @@ class _Sets:
         agree, filled = F.size(F.array_intersect("sig_a", "sig_b")), F.size(F.array_union(bins("sig_a"), bins("sig_b")))
         error = 4 * F.sqrt(filled * (self.threshold * (1 - self.threshold)))
         sizes = F.least("n_a", "n_b") >= self.threshold * F.greatest("n_a", "n_b")
-        near = kept(both.where(sizes & (agree >= filled * self.threshold - error)).select("a", "b"))
-        asked = near.select(F.col("a").alias("set")).union(near.select("b")).distinct().join(self.one.select("set", "text_hash"), "set")
+        return kept(both.where(sizes).where(agree >= filled * self.threshold - error).select("a", "b"))
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, similarity) of those of ``pairs`` whose sets reach the threshold; only their texts are read again."""
+        asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(self.one.select("set", "text_hash"), "set")
         texts = self.docs.withColumn("text_hash", F.xxhash64("text")).join(small(asked.select("text_hash").distinct()), "text_hash", "left_semi").dropDuplicates(["text_hash", "text"])
         hashes = F.array_distinct(F.transform(shingles(F.col("text"), self.words), by_engine))
         sets = kept(texts.select("text_hash", hashes.alias("hashes")).join(asked, "text_hash").select("set", "hashes"))
         of = lambda c: sets.select(F.col("set").alias(c), F.col("hashes").alias(f"hashes_{c}"))
-        shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
-        exact = near.join(of("a"), "a").join(of("b"), "b").withColumn("shared", shared)
-        exact = exact.select("a", "b", (F.col("shared") / (F.size("hashes_a") + F.size("hashes_b") - F.col("shared"))).alias("similarity"))
-        return kept(exact.where(F.col("similarity") >= self.threshold).distinct())
+        both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("hashes_a", "hashes_b")))
+        both = both.select("a", "b", (F.col("shared") / (F.size("hashes_a") + F.size("hashes_b") - F.col("shared"))).alias("similarity"))
+        return kept(both.where(F.col("similarity") >= self.threshold).distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, similarity) between distinct sets of shingles, and members (doc_id, set, group_id).
+    """Links (a, b, similarity) that connect like sets of shingles, and members (doc_id, set, group_id).
 
     ``docs`` has doc_id, of any type with an order, and text. Rows of one set are members
     of it and make no links. group_id is the least doc_id of the sets that links connect. A
     text without words is in no set: its set is null and its group its own doc_id. Sets
     that a key brings together are all compared if they are few; in a crowded key each is
-    compared with one, those that are like it are done there, and the others meet in
-    longer keys, until keys are small. Rows with equal or null doc_id are rows each. An
+    compared with one, those that it is then connected to are done there, and the others
+    meet in longer keys, until keys are small. Sets that links connect already aren't
+    compared again, so a large group has links enough to hold it together, not all. Rows with equal or null doc_id are rows each. An
     empty table gives no rows.
     """
     sets = _Sets(docs, words, threshold)
-    width = 1 << BAND
     held = sets.one.select("set", F.posexplode("keys").alias("band", "key")).where("key is not null").select("key", "set", "band", F.lit(1).alias("depth"))
-    found = []
+    links, roots = None, sets.one.select("set", F.col("set").alias("root")).limit(0)
     while True:
-        counted = held.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-        held = kept(held.join(counted, "key"))
+        rooted = held.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+        # a key whose sets are all connected has nothing more to say
+        counted = rooted.groupBy("key").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "many")
+        held = kept(rooted.join(counted, "key"))
         if held.isEmpty():
             break
-        last = F.col("depth") >= 4  # longer keys don't part what is left; it is compared with one after the other
-        few = held.where(F.col("many") <= FEW)
-        pairs = few.select("key", F.col("set").alias("a")).join(few.select("key", F.col("set").alias("b")), "key").where("a < b").select("a", "b")
-        crowd = held.where(F.col("many") > FEW)
-        heads = crowd.groupBy("key").agg(F.min_by("set", F.xxhash64("set", "key")).alias("head"))
-        led = crowd.join(heads, "key").where("set <> head")
-        ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        links = sets.links(kept(pairs.unionByName(led.select(*ends("head", "set"))).distinct()))
-        found.append(links.select("a", "b", "similarity"))
-        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("head"), F.col("b").alias("set"))
-        rest = led.join(both, ["head", "set"], "left_anti")
+        few, crowd = held.where(F.col("many") <= FEW), held.where(F.col("many") > FEW)
+        side = lambda c: few.select("key", F.col("set").alias(c), F.col("root").alias(f"root_{c}"))
+        pairs = side("a").join(side("b"), "key").where("a < b and root_a <> root_b").select("a", "b")
+        # one head for a key; where keys are as long as they get, several, so that few rounds are left
+        order = Window.partitionBy("key").orderBy(F.xxhash64("set", "key"), "set")
+        heads = crowd.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.when(F.col("depth") < DEPTH, 1).otherwise(2 * FEW)).select("key", F.col("set").alias("head"), F.col("root").alias("head_root"))
+        led = kept(crowd.join(heads, "key").where("root <> head_root"))
+        near = sets.likely(pairs.unionByName(led.select(F.least("head", "set").alias("a"), F.greatest("head", "set").alias("b"))).distinct())
+        new = sets.exact(near)
+        if links is None or not new.isEmpty():
+            links = new if links is None else kept(links.unionByName(new))
+            roots = connected(links, "a", "b").withColumnRenamed("node", "set")
+        # what is like no head of its key goes on
+        now = led.join(roots.withColumnRenamed("root", "set_now"), "set", "left").join(roots.select(F.col("set").alias("head"), F.col("root").alias("head_now")), "head", "left")
+        same = F.coalesce("set_now", "set") == F.coalesce("head_now", "head")
+        state = now.groupBy("key", "set", "band", "depth").agg(F.bool_or(same).alias("done"))
+        rest = kept(state.where("not done").join(heads.select("key", F.col("head").alias("set")), ["key", "set"], "left_anti").select("key", "set", "band", "depth"))
         if rest.isEmpty():
             break
-        again = rest.where(last).select("key", "set", "band", "depth")
-        other = sets.one.select("set", F.col("keys").alias("all"))
-        longer = rest.where(~last).join(other, "set").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(LONGER))))
-        more = F.get("all", F.pmod(F.col("band") + F.col("step") * F.col("depth"), F.lit(width)).cast("int"))
-        longer = longer.select(F.xxhash64("key", F.col("step"), more).alias("key"), "set", F.pmod(F.col("band") + F.col("step") * F.col("depth"), F.lit(width)).cast("int").alias("band"), (F.col("depth") + 1).alias("depth"))
-        held = kept(again.unionByName(longer).distinct())
-    links = found[0] if found else sets.docs.sparkSession.createDataFrame([], "a string, b string, similarity double")
-    for part in found[1:]:
-        links = links.unionByName(part)
-    links = kept(links.distinct())
-    roots = connected(links, "a", "b").withColumnsRenamed({"node": "set"})
+        held = rest.where(F.col("depth") >= DEPTH).unionByName(_longer(rest.where(F.col("depth") < DEPTH), sets.one))
+    if links is None:
+        links = sets.exact(sets.one.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0))
+    links = links.distinct()
     named = sets.members.select("doc_id", F.when(F.col("n") > 0, F.col("set")).alias("set")).join(small(roots), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("group_id"))
     members = named.join(least, "root", "left").select("doc_id", "set", F.coalesce("group_id", "doc_id").alias("group_id"))
     return links, members
 
 
+def _longer(rest: DataFrame, one: DataFrame) -> DataFrame:
+    """Sets under their key joined with each of the next further keys that they have."""
+    bands = 1 << BAND
+    after = F.transform(F.sequence(F.lit(1), F.lit(bands - 1)), lambda i: F.struct(F.pmod(F.col("band") + i, F.lit(bands)).cast("int").alias("band"), F.get("keys", F.pmod(F.col("band") + i, F.lit(bands)).cast("int")).alias("key")))
+    some = F.slice(F.filter(after, lambda x: x["key"].isNotNull()), 1, LONGER)
+    both = rest.join(one.select("set", "keys"), "set").select("key", "set", "depth", F.explode(some).alias("next"))
+    return both.select(F.xxhash64("key", "next.key").alias("key"), "set", F.col("next.band").alias("band"), (F.col("depth") + 1).alias("depth")).distinct()
+
+
 _SHINGLES = r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w)"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.plans.registry import query
@@ -10,6 +12,8 @@ from marlstone.session import Tables, sql
 
 #: A side that has at most so many rows may be broadcast.
 BROADCAST_ROWS = 100_000
+#: The greatest double, and the least length of a range that levels tell apart.
+MOST, LEAST = 1.7976931348623157e308, 2.0**-1000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -17,6 +21,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh_name(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores before it until no table has it."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def as_of(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, values: list[str], bucket: float | None = None, tie: list[str] | None = None) -> DataFrame:
     """Each row of ``left`` with ``values`` of the last row of ``right`` at or before it, by key ``on``; null if there is none.
 
@@ -48,15 +60,60 @@ def as_of(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: st
     return both.select("_l.*", *[F.col(f"_last._v_{v}").alias(f"{v}_as_of") for v in values])
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= point < high, by an equi-join on buckets of ``width`` and a filter.
+def _number(df: DataFrame, name: str) -> Column:
+    """A column as a double that keeps its order; times as seconds."""
+    kind = df.schema[name].dataType.simpleString()
+    c = F.col(f"`{name}`")
+    return c.cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else c.cast("double")
 
-    A range is copied to each bucket that it meets, so ``width`` should be about
-    the usual length of a range.
+
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float | None = None, on: list[str] | None = None) -> DataFrame:
+    """Pairs with low <= point < high, and equal columns ``on`` if given, by an equi-join on cells of doubling widths.
+
+    A range lives at the level whose cells are the first as wide as itself, and meets two
+    of them, or by rounding three; a point is copied once to each level that ranges live
+    at. So neither long ranges among short ones nor the other way round make many rows. The
+    number of levels is at most that of the exponents of a double, and in practice that
+    of the doublings between the shortest and the longest range. Ranges are first cut to
+    the extent of the points, so an endless one is no wider than that. Ranges that hold
+    nothing, and nulls, match nothing. ``width`` is the least width of a cell; shorter
+    ranges share a level then.
+    """
+    on = on or []
+    pc, rc = fresh_name("_cell", points, ranges), fresh_name("_level", points, ranges)
+    x = _number(points, point)
+    first, last = points.agg(F.min(x), F.max(x)).first()
+    if first is None or math.isnan(last):  # NaN lies in no range, so the extent is that of the numbers
+        first, last = points.where(~F.isnan(x)).agg(F.min(x), F.max(x)).first()
+    first, last = (0.0, 0.0) if first is None else (max(first, -MOST), min(last, MOST))
+    a, b = F.greatest(_number(ranges, low), F.lit(first)), F.least(_number(ranges, high), F.lit(last))
+    real = (F.col(f"`{low}`") < F.col(f"`{high}`")) & (a <= b)
+    length = F.greatest(b / 2 - a / 2, F.lit((width or 0.0) / 2), F.lit(LEAST))  # half, as the whole may be no double
+    level = F.ceil(F.log2(length)).cast("int") + 1
+    cell = lambda v, at: F.floor(v / F.pow(F.lit(2.0), at))
+    cells = F.explode(F.sequence(cell(a, F.col(f"`{rc}`")), cell(b, F.col(f"`{rc}`"))))
+    spread = ranges.where(real).withColumn(rc, level)
+    levels = sorted(r[0] for r in spread.select(rc).distinct().collect())
+    spread = spread.withColumn(pc, cells)
+    if not levels:
+        levels = [0]
+    own = points.where(~F.isnan(x)).withColumn(rc, F.explode(F.array(*[F.lit(i) for i in levels]))).withColumn(pc, cell(x, F.col(f"`{rc}`")))
+    return own.join(spread, [rc, pc, *on]).where((F.col(f"`{point}`") >= F.col(f"`{low}`")) & (F.col(f"`{point}`") < F.col(f"`{high}`"))).drop(rc, pc)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], on: list[str] | None = None) -> DataFrame:
+    """Pairs of ranges that share a point, and equal columns ``on`` if given.
+
+    Either the right one begins within the left one, or the left one begins within the
+    right one and after its beginning; both are range joins, and no pair comes twice.
+    Ranges are half open; those that hold nothing overlap nothing.
     """
-    bucket = lambda c: F.floor(F.col(c).cast("double") / width).cast("long")
-    spread = ranges.withColumn("_b", F.explode(F.sequence(bucket(low), bucket(high))))
-    return points.withColumn("_b", bucket(point)).join(spread, "_b").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_b")
+    held = lambda df, r: df.where(F.col(f"`{r[0]}`") < F.col(f"`{r[1]}`"))
+    a, b = held(left, left_range), held(right, right_range)
+    begins = range_join(b, a, right_range[0], *left_range, on=on)
+    within = range_join(a, b, left_range[0], *right_range, on=on).where(F.col(f"`{left_range[0]}`") > F.col(f"`{right_range[0]}`"))
+    columns = [F.col(f"`{c}`") for c in dict.fromkeys([*(on or []), *left.columns, *right.columns])]
+    return begins.select(*columns).unionAll(within.select(*columns))
 
 
 @query("""SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'""")
@@ -126,6 +183,29 @@ def join_range(t: Tables) -> DataFrame:
     return range_join(t.part.select("p_partkey", "p_retailprice"), bands, "p_retailprice", "low", "high", 50.0).select("p_partkey", "low")
 
 
+@query("""SELECT e.event_id, count(*) AS n, CAST(sum(p.event_id) AS BIGINT) AS ids FROM (SELECT event_id, ts, ts + to_minutes(CAST(floor(value * value) AS BIGINT)) AS till FROM events WHERE event_type = 'error') e
+JOIN (SELECT event_id, ts FROM events WHERE event_type = 'purchase') p ON p.ts >= e.ts AND p.ts < e.till GROUP BY e.event_id""")
+def join_range_levels(t: Tables) -> DataFrame:
+    """Purchases while an error lasts, with errors of a minute to days."""
+    errors = t.events.where("event_type = 'error'").selectExpr("event_id", "ts AS since", "ts + make_dt_interval(0, 0, cast(floor(value * value) AS int), 0) AS till")
+    buys = t.events.where("event_type = 'purchase'").selectExpr("event_id AS buy_id", "ts AS at")
+    return range_join(buys, errors, "at", "since", "till").groupBy("event_id").agg(F.count("*").alias("n"), F.sum("buy_id").alias("ids"))
+
+
+_PERIODS = "SELECT o_custkey, o_orderkey, o_orderdate, max(l_shipdate) AS shipped FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"
+
+
+@query(f"""WITH p AS ({_PERIODS}) SELECT a.o_custkey, a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM p a JOIN p b ON a.o_custkey = b.o_custkey
+AND a.o_orderkey < b.o_orderkey AND a.o_orderdate < b.shipped AND b.o_orderdate < a.shipped AND a.o_orderdate < a.shipped AND b.o_orderdate < b.shipped""")
+def join_overlaps(t: Tables) -> DataFrame:
+    """Orders of one customer that were open at the same time."""
+    shipped = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("shipped"))
+    p = t.orders.select("o_custkey", "o_orderkey", "o_orderdate").join(shipped, "o_orderkey")
+    a = p.select("o_custkey", F.col("o_orderkey").alias("a_key"), F.col("o_orderdate").alias("a_from"), F.col("shipped").alias("a_to"))
+    b = p.select("o_custkey", F.col("o_orderkey").alias("b_key"), F.col("o_orderdate").alias("b_from"), F.col("shipped").alias("b_to"))
+    return overlap_join(a, b, ("a_from", "a_to"), ("b_from", "b_to"), on=["o_custkey"]).where("a_key < b_key").select("o_custkey", "a_key", "b_key")
+
+
 @query("""SELECT a.event_id, b.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'click') a
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.ts >= b.ts""")
 def join_as_of(t: Tables) -> DataFrame:
