@@ -20,10 +20,12 @@ from marlstone.plans.registry import query
 from marlstone.session import Tables
 from marlstone.sources.files import kept
 
-#: Hashes have 60 bits; the first 7 name the bin, the first 5 the key.
-BITS, BIN, BAND, B = 60, 7, 5, 16
+#: Hashes have 60 bits, of which the first 7 name the bin; signatures keep 16.
+BITS, BIN, B = 60, 7, 16
+#: Kinds of keys: the first bits of a hash that name the group of bins, and the sizes of sets that have them.
+KINDS = ((5, 256, 1 << 62), (4, 64, 256), (3, 0, 64))
 #: Sets of a key that are all compared with each other; of more, all with one of them, and the others in longer keys.
-FEW = 64
+FEW = 32
 #: Further keys that a crowded key is joined with, each in turn, and how many keys the longest is made of.
 LONGER, DEPTH = 8, 4
 
@@ -63,13 +65,28 @@ def b_bit(mins: Column) -> Column:
     return F.transform(mins, lambda x: (F.shiftright(x, BITS - BIN) * (1 << B) + x.bitwiseAND((1 << B) - 1)).cast("int"))
 
 
-def keys(mins: Column) -> Column:
-    """One hash for each group of four bins, of the least hashes there; null where all four are empty."""
-    def of(band: Column) -> Column:
-        own = F.filter(mins, lambda x: F.shiftright(x, BITS - BAND) == band)
-        return F.when(F.size(own) > 0, F.xxhash64(band, own))
+def keys(mins: Column, n: Column) -> Column:
+    """One hash for each group of bins, of the least hashes there; null where all are empty, and for groups that aren't the set's.
 
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit((1 << BAND) - 1).cast("long")), of)
+    Groups are of 4 bins, of 8 for sets of under 256 hashes, and of 16 for those of under
+    64, so that a key of a small set doesn't hang on one or two hashes that a passage
+    shared by many texts has too. A set within a fifth of a limit has both kinds, so two
+    alike have one kind in common.
+    """
+    def of(bits: int, kind: int):
+        def key(band: Column) -> Column:
+            own = F.filter(mins, lambda x: F.shiftright(x, BITS - bits) == band)
+            return F.when(F.size(own) > 0, F.xxhash64(F.lit(kind), band, own))
+
+        return key
+
+    groups = []
+    for kind, (bits, least, most) in enumerate(KINDS):
+        mine = (n * 1.25 >= least) & (n * 0.8 < most)
+        wide = F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long"))
+        none = F.array_repeat(F.lit(None).cast("long"), 1 << bits)
+        groups.append(F.when(mine, F.transform(wide, of(bits, kind))).otherwise(none))
+    return F.concat(*groups)
 
 
 class _Sets:
@@ -79,7 +96,7 @@ class _Sets:
         self.docs, self.words, self.threshold = docs.select("doc_id", "text"), words, threshold
         self.members = kept(signed(docs, words))
         one = self.members.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("mins").alias("mins"), F.min("text_hash").alias("text_hash"))
-        self.one = kept(one.select("set", "n", "text_hash", b_bit(F.col("mins")).alias("sig"), keys(F.col("mins")).alias("keys")))
+        self.one = kept(one.select("set", "n", "text_hash", b_bit(F.col("mins")).alias("sig"), keys(F.col("mins"), F.col("n")).alias("keys")))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that may reach the threshold.
@@ -159,7 +176,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
 
 def _longer(rest: DataFrame, one: DataFrame) -> DataFrame:
     """Sets under their key joined with each of the next further keys that they have."""
-    bands = 1 << BAND
+    bands = sum(1 << bits for bits, _, _ in KINDS)
     after = F.transform(F.sequence(F.lit(1), F.lit(bands - 1)), lambda i: F.struct(F.pmod(F.col("band") + i, F.lit(bands)).cast("int").alias("band"), F.get("keys", F.pmod(F.col("band") + i, F.lit(bands)).cast("int")).alias("key")))
     some = F.slice(F.filter(after, lambda x: x["key"].isNotNull()), 1, LONGER)
     both = rest.join(one.select("set", "keys"), "set").select("key", "set", "depth", F.explode(some).alias("next"))

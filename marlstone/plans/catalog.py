@@ -6,6 +6,6 @@ from marlstone.functions import arrays, dates, json, minhash, numbers, strings,
 from marlstone.operators import aggregates, eventtime, filters, joins, selection, sets, sketches, udfs, windows  # noqa: F401
 from marlstone.plans.registry import QUERIES
 from marlstone.sources import files, tables  # noqa: F401
-from marlstone.streaming import events  # noqa: F401
+from marlstone.streaming import events, stateful  # noqa: F401
 
 __all__ = ["QUERIES"]
