@@ -25,13 +25,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_SCHEMAS: dict[tuple[str, str], StructType] = {}
+_SCHEMAS: dict[tuple[str, str, int], StructType] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table. Its schema is read from the files once in an application, as that takes a job."""
+    """One table. Its schema is read from the files once in an application and again when they have changed, as that takes a job."""
     path = f"{sf_dir}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    changed = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
+    key = (spark.sparkContext.applicationId, path, changed)
     if key not in _SCHEMAS:
         _SCHEMAS[key] = spark.read.parquet(path).schema
     return spark.read.schema(_SCHEMAS[key]).parquet(path)

@@ -61,3 +61,10 @@ def test_late_row_is_dropped(spark, tmp_path):
 
 def test_stream_reads_one_table(spark, sf_dir):
     assert stream(Tables(spark, sf_dir)).isStreaming
+
+
+def test_a_table_that_is_written_anew_is_read_with_its_new_schema(spark, tmp_path):
+    for columns in ("id", "id, id * 2 AS twice"):
+        spark.sql(f"SELECT {columns} FROM range(3)").write.mode("overwrite").parquet(f"{tmp_path}/region.parquet")
+        got = Tables(spark, str(tmp_path)).region
+        assert got.columns == (["id"] if columns == "id" else ["id", "twice"])
