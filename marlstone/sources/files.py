@@ -1,4 +1,4 @@
-"""Sources and sinks: file formats, partitioned tables, a custom source."""
+"""Sources and sinks: file formats and partitioned tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from marlstone.plans.registry import query
 from marlstone.session import Tables
@@ -76,12 +75,12 @@ def text_files(t: Tables) -> DataFrame:
     return written(t.nation.select(F.col("n_name").alias("value")), "text")
 
 
-@query("SELECT length(n_name) + 1 AS bytes FROM nation WHERE n_nationkey = 0")
+@query("SELECT CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes FROM customer")
 def binary_files(t: Tables) -> DataFrame:
     """Whole files as bytes."""
     path = scratch(t.spark)
-    t.nation.where("n_nationkey = 0").select("n_name").coalesce(1).write.text(path)
-    return t.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.length("content").cast("long").alias("bytes"))
+    t.customer.select("c_name").write.text(path)
+    return t.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).agg(F.sum(F.length("content")).alias("bytes"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus")
@@ -90,37 +89,3 @@ def partitioned_table(t: Tables) -> DataFrame:
     path = scratch(t.spark)
     t.orders.select("o_orderkey", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
     return t.spark.read.parquet(path).where("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-
-
-class _Squares(DataSource):
-    """Numbers below n and their squares, in several partitions."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "marlstone_squares"
-
-    def schema(self) -> str:
-        return "n long, square long"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SquaresReader(int(self.options.get("n", 10)))
-
-
-class _SquaresReader(DataSourceReader):
-    def __init__(self, n: int):
-        self.n = n
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition((i, self.n)) for i in range(4)]
-
-    def read(self, partition: InputPartition):
-        first, n = partition.value
-        for k in range(first, n, 4):
-            yield k, k * k
-
-
-@query("SELECT i AS n, i * i AS square FROM range(100) r(i)")
-def custom_source(t: Tables) -> DataFrame:
-    """A source written in Python."""
-    t.spark.dataSource.register(_Squares)
-    return t.spark.read.format("marlstone_squares").option("n", 100).load()
