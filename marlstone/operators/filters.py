@@ -44,11 +44,15 @@ def guarded_division(t: Tables) -> DataFrame:
     return t.customer.selectExpr("c_custkey", "cast(c_acctbal as bigint) as whole", "round(1000 / nullif(c_nationkey, 0), 4) as per")
 
 
-@query("""WITH RECURSIVE up(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM up WHERE n < 50)
-SELECT CAST(n AS INTEGER) AS n, CAST(total AS INTEGER) AS total FROM up""")
+_MONTHS = """WITH RECURSIVE months(m, last) AS (SELECT CAST(date_trunc('month', min(o_orderdate)) AS DATE), CAST(max(o_orderdate) AS DATE) FROM {orders} WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT CAST(m + INTERVAL 1 MONTH AS DATE), last FROM months WHERE CAST(m + INTERVAL 1 MONTH AS DATE) <= last)
+SELECT CAST(m AS DATE) AS m, count(o_orderkey) AS n FROM months LEFT JOIN (SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS own FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000) o ON own = m GROUP BY m"""
+
+
+@query(_MONTHS.replace("{orders}", "orders"))
 def recursive_cte(t: Tables) -> DataFrame:
-    """A recursive common table expression."""
-    return t.spark.sql("WITH RECURSIVE up(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM up WHERE n < 50) SELECT n, total FROM up")
+    """A recursive common table expression: all months between a table's first and last, so that months without a row are counted too."""
+    return sql(t.spark, t.sf_dir, _MONTHS, "orders")
 
 
 @query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL""")
@@ -63,11 +67,18 @@ def pipe_syntax(t: Tables) -> DataFrame:
     return sql(t.spark, t.sf_dir, "FROM {orders} |> WHERE o_totalprice > 200000 |> AGGREGATE count(*) AS n GROUP BY o_orderstatus", "orders")
 
 
-@query("""SELECT x, y, coalesce(x, y, 0) AS first_known, greatest(x, y) AS most, nullif(x, 2) AS not_two, x IS NOT DISTINCT FROM y AS same
-FROM (VALUES (1, 2), (NULL, 3), (2, NULL), (NULL, NULL), (2, 2)) AS v(x, y)""")
+@query("""SELECT p_partkey, x, y, coalesce(x, y, 0) AS first_known, greatest(x, y) AS most, nullif(x, 2) AS not_two, x IS NOT DISTINCT FROM y AS same, x = y AS equal
+FROM (SELECT p_partkey, nullif(p_size % 4, 0) AS x, CASE WHEN p_size % 3 > 0 THEN p_size % 3 END AS y FROM part)""")
 def null_semantics(t: Tables) -> DataFrame:
-    """Nulls in comparisons and functions, over inline values."""
-    return t.spark.sql("SELECT x, y, coalesce(x, y, 0) AS first_known, greatest(x, y) AS most, nullif(x, 2) AS not_two, x <=> y AS same FROM VALUES (1, 2), (NULL, 3), (2, NULL), (NULL, NULL), (2, 2) AS v(x, y)")
+    """Nulls in comparisons and functions."""
+    rows = t.part.selectExpr("p_partkey", "nullif(p_size % 4, 0) as x", "case when p_size % 3 > 0 then p_size % 3 end as y")
+    return rows.selectExpr("*", "coalesce(x, y, 0) as first_known", "greatest(x, y) as most", "nullif(x, 2) as not_two", "x <=> y as same", "x = y as equal")
+
+
+@query("""SELECT c_custkey, band, low FROM customer JOIN (VALUES ('low', -1e9, 0.0), ('mid', 0.0, 5000.0), ('high', 5000.0, 1e9)) v(band, low, high) ON c_acctbal >= low AND c_acctbal < high""")
+def inline_values(t: Tables) -> DataFrame:
+    """Inline values as a table, joined to one."""
+    return sql(t.spark, t.sf_dir, "SELECT c_custkey, band, low FROM {customer} JOIN (VALUES ('low', -1e9D, 0.0D), ('mid', 0.0D, 5000.0D), ('high', 5000.0D, 1e9D)) v(band, low, high) ON c_acctbal >= low AND c_acctbal < high", "customer")
 
 
 @query("""SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1""")
@@ -79,10 +90,19 @@ def qualify(t: Tables) -> DataFrame:
     return t.part.withColumn("r", F.row_number().over(w)).where("r = 1").select("p_partkey", "p_brand")
 
 
-@query("""SELECT CAST(sum(i) AS BIGINT) AS total FROM range(1, 11) r(i)""")
+@query("""SELECT min(cut) AS cut FROM (SELECT CAST(1000 * 2 ** i AS BIGINT) AS cut FROM range(40) r(i)) WHERE 10 * (SELECT count(*) FROM orders WHERE o_totalprice > cut) <= (SELECT count(*) FROM orders)""")
 def scripting(t: Tables) -> DataFrame:
-    """A SQL script with a variable and a loop."""
-    return t.spark.sql("BEGIN DECLARE i INT = 0; DECLARE total BIGINT = 0; WHILE i < 10 DO SET i = i + 1; SET total = total + i; END WHILE; SELECT total AS total; END")
+    """A SQL script: a limit on prices is doubled until at most a tenth of the orders lie above it."""
+    t.orders.createOrReplaceTempView("marlstone_script_orders")
+    return t.spark.sql("""BEGIN
+      DECLARE cut BIGINT = 1000; DECLARE above BIGINT; DECLARE total BIGINT;
+      SET (total, above) = (SELECT count(*), count_if(o_totalprice > cut) FROM marlstone_script_orders);
+      WHILE 10 * above > total DO
+        SET cut = cut * 2;
+        SET above = (SELECT count(*) FROM marlstone_script_orders WHERE o_totalprice > cut);
+      END WHILE;
+      SELECT cut AS cut;
+    END""")
 
 
 @query("""SELECT p_partkey FROM part WHERE p_name LIKE '%a!_b%' ESCAPE '!' OR p_name LIKE '%e%'""")

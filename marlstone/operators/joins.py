@@ -224,13 +224,13 @@ def join_as_of_split(t: Tables) -> DataFrame:
     return out.select("event_id", F.col("view_as_of").alias("view_id"))
 
 
-@query("""SELECT a.name, b.v FROM (VALUES (1, 5, 'a'), (1, 1, 'b'), (2, 9, 'c'), (NULL, 5, 'd'), (1, NULL, 'e'), (NULL, NULL, 'f')) a(k, t, name)
-ASOF LEFT JOIN (VALUES (1, 4, 50), (1, 2, 20), (NULL, 3, 10), (1, NULL, 30), (2, 10, 60)) b(k, t, v) ON a.k = b.k AND a.t >= b.t""")
+@query("""WITH e AS (SELECT event_id, nullif(user_id % 50, 7) AS k, CASE WHEN event_id % 11 > 0 THEN ts END AS at, event_type, value FROM events)
+SELECT a.event_id, b.event_id AS last FROM (SELECT * FROM e WHERE event_type = 'click') a ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view') b ON a.k = b.k AND a.at >= b.at""")
 def join_as_of_nulls(t: Tables) -> DataFrame:
     """Null keys and times match nothing."""
-    left = t.spark.sql("SELECT * FROM VALUES (1, 5, 'a'), (1, 1, 'b'), (2, 9, 'c'), (NULL, 5, 'd'), (1, NULL, 'e'), (NULL, NULL, 'f') a(k, t, name)")
-    right = t.spark.sql("SELECT * FROM VALUES (1, 4, 50), (1, 2, 20), (NULL, 3, 10), (1, NULL, 30), (2, 10, 60) b(k, t, v)")
-    return as_of(left, right, "k", "t", "t", ["v"], bucket=3).select("name", F.col("v_as_of").alias("v"))
+    e = t.events.selectExpr("event_id", "nullif(user_id % 50, 7) as k", "case when event_id % 11 > 0 then ts end as at", "event_type")
+    views = e.where("event_type = 'view'").withColumnRenamed("event_id", "last")
+    return as_of(e.where("event_type = 'click'"), views, "k", "at", "at", ["last"], bucket=86400).select("event_id", F.col("last_as_of").alias("last"))
 
 
 @query("""SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)""")

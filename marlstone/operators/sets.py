@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.plans.registry import query
-from marlstone.session import Tables
+from marlstone.session import Tables, sql
 
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5""")
@@ -15,17 +15,22 @@ def top_k(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(5).limit(20)
 
 
-@query("""SELECT CAST(row_number() OVER (ORDER BY x ASC NULLS LAST) AS INTEGER) AS r, x FROM (VALUES (3), (NULL), (1), (2)) AS v(x)""")
+_NULLS = "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY x ASC NULLS LAST, c_custkey) AS INTEGER) AS up, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY x DESC NULLS FIRST, c_custkey) AS INTEGER) AS down FROM (SELECT c_custkey, c_nationkey, nullif(c_custkey % 7, 3) AS x FROM {customer})"
+
+
+@query(_NULLS.replace("{customer}", "customer"))
 def null_order(t: Tables) -> DataFrame:
     """Nulls placed explicitly."""
-    return t.spark.sql("SELECT row_number() OVER (ORDER BY x ASC NULLS LAST) AS r, x FROM VALUES (3), (NULL), (1), (2) AS v(x)")
+    return sql(t.spark, t.sf_dir, _NULLS, "customer")
 
 
-@query("""SELECT CAST(row_number() OVER (ORDER BY x ASC NULLS FIRST) AS INTEGER) AS r, isnan(x) AS odd FROM (VALUES (1.0::DOUBLE), ('NaN'::DOUBLE), (-1.0::DOUBLE), (NULL)) AS v(x)""")
+@query("""SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY x ASC NULLS FIRST, c_custkey) AS INTEGER) AS r, isnan(x) AS odd
+FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_acctbal < 0 THEN 'NaN'::DOUBLE ELSE c_acctbal END AS x FROM customer)""")
 def nan_order(t: Tables) -> DataFrame:
-    """NaN after all numbers."""
-    rows = t.spark.sql("SELECT row_number() OVER (ORDER BY x ASC NULLS FIRST) AS r, x FROM VALUES (1.0D), (double('NaN')), (-1.0D), (cast(NULL AS double)) AS v(x)")
-    return rows.select("r", F.when(F.col("x").isNotNull(), F.isnan("x")).alias("odd"))
+    """NaN after all numbers, nulls before."""
+    x = F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).when(F.col("c_acctbal") < 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.asc_nulls_first("x"), "c_custkey"))
+    return t.customer.select("c_custkey", "c_nationkey", x.alias("x")).select("c_custkey", place.alias("r"), F.when(F.col("x").isNotNull(), F.isnan("x")).alias("odd"))
 
 
 @query("""SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier""")
