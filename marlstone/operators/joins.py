@@ -12,6 +12,8 @@ from marlstone.session import Tables, sql
 
 #: A side that has at most so many rows may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows of a key, of both sides, that an as-of join keeps in one span.
+SPAN_ROWS = 1_000_000
 #: The greatest double, and the least length of a range that levels tell apart.
 MOST, LEAST = 1.7976931348623157e308, 2.0**-1000
 
@@ -36,21 +38,36 @@ def as_of(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: st
     its rows. Right rows come first at equal times; of right rows at one time the
     greatest by ``tie`` counts (by ``values``, if none are given), nulls least. A
     null key or time matches nothing, as in SQL: such right rows are left out, and
-    such left rows are dealt to tasks at random and get null. ``bucket`` cuts each key's time
-    into spans of so many seconds (or units, for numbers), which become tasks of
-    their own; a hot key is then split, and only the last right row of each span is
-    carried to the next.
+    such left rows are dealt to tasks at random and get null. A hot key is cut into spans of
+    time, which become tasks of their own, and only the last right row of each span is
+    carried to the next. ``bucket`` is the length of a span in seconds (or units, for
+    numbers), of all keys; without it, keys of over `SPAN_ROWS` rows are found by a
+    count, and each is cut into equal spans of about so many. Rows of one key that share one time
+    stay in one task. ``float("inf")`` saves the count where no key is hot.
     """
     kind, number = F.struct(*[F.col(v).alias(f"_v_{v}") for v in values]), lambda c: F.col(c).cast("timestamp").cast("double") if "timestamp" in right.schema[right_ts].dataType.simpleString() else F.col(c).cast("double")
-    span = F.lit(0).cast("long") if bucket is None else F.floor(number("_t") / bucket)
     lost = F.col("_k").isNull() | F.col("_t").isNull()
     lhs = left.select(F.col(on).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
-    lhs = lhs.withColumn("_span", F.when(lost, F.monotonically_increasing_id() % 4096).otherwise(span)).withColumn("_k", F.when(~lost, F.col("_k")))
-    rhs = right.select(F.col(on).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), kind.alias("_r"), F.struct(*(tie or values)).alias("_tie")).where(~lost).withColumn("_span", span)
+    rhs = right.select(F.col(on).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), kind.alias("_r"), F.struct(*(tie or values)).alias("_tie")).where(~lost)
+    widths = None
+    if bucket is None:
+        times = lhs.select("_k", "_t").where(~lost).union(rhs.select("_k", "_t")).groupBy("_k").agg(F.count("*").alias("_n"), F.min(number("_t")).alias("_from"), F.max(number("_t")).alias("_to"))
+        widths = times.where((F.col("_n") > SPAN_ROWS) & (F.col("_from") < F.col("_to"))).select(F.col("_k").alias("_hot"), ((F.col("_to") - F.col("_from")) / F.ceil(F.col("_n") / SPAN_ROWS)).alias("_width"))
+        hot = widths.limit(BROADCAST_ROWS + 1).count()
+        widths = (F.broadcast(widths) if hot <= BROADCAST_ROWS else widths) if hot else None
+
+    def cut(side: DataFrame) -> DataFrame:
+        if widths is None:
+            return side.withColumn("_span", F.lit(0).cast("long") if bucket is None else F.floor(number("_t") / bucket))
+        side = side.join(widths, F.col("_k") == F.col("_hot"), "left")
+        return side.withColumn("_span", F.coalesce(F.floor(number("_t") / F.col("_width")), F.lit(0))).drop("_hot", "_width")
+
+    lhs, rhs = cut(lhs), cut(rhs)
+    lhs = lhs.withColumn("_span", F.when(lost, F.monotonically_increasing_id() % 4096).otherwise(F.col("_span"))).withColumn("_k", F.when(~lost, F.col("_k")))
     both = lhs.unionByName(rhs, allowMissingColumns=True)
     w = Window.partitionBy("_k", "_span").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_last", F.last_value("_r", F.lit(True)).over(w)).where("_side = 1")
-    if bucket is not None:
+    if bucket is not None or widths is not None:
         ends = rhs.groupBy("_k", "_span").agg(F.max_by("_r", F.struct("_t", "_tie")).alias("_r"))
         asked = both.select("_k", "_span").distinct().withColumn("_r", F.lit(None).cast(ends.schema["_r"].dataType))
         before = Window.partitionBy("_k").orderBy("_span").rangeBetween(Window.unboundedPreceding, -1)
