@@ -20,23 +20,29 @@ LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO",
     24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
-_ACCOUNT = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in LENGTHS.items())
+_ACCOUNT = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[ -]?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f"[ -]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in LENGTHS.items())
+#: An expiry date such as 12/27, which a run of digit groups must not take.
+_EXPIRY = r"[ -][0-9]{1,2}/[0-9]"
 #: How each kind is written. Repetitions are bounded, so long texts are scanned in linear time.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "iban": rf"(?<![A-Za-z0-9])(?:{_ACCOUNT})(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_ACCOUNT}|{_ACCOUNT.lower()})(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])|(?<![\w(+-])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![\w-])",
+    "phone": r"(?<![A-Za-z0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{1,4}}(?:(?!{_EXPIRY})[ .-]?[0-9]{{2,4}}){{1,4}}(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9(+-])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![A-Za-z0-9-])|(?<![A-Za-z0-9.+-])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![A-Za-z0-9-]|\.[0-9])",
 }
 #: A card's run of digits ends before any other kind; cards are looked for in longer runs.
-PATTERNS["card"] = rf"(?<![\w.])[0-9](?:(?![ -](?:{'|'.join(PATTERNS[k] for k in ('date', 'ip', 'ssn', 'phone'))}))[ -]?[0-9]){{11,63}}(?![\w])"
+PATTERNS["card"] = rf"(?<![A-Za-z0-9.])[0-9](?:(?![ -](?:{'|'.join(PATTERNS[k] for k in ('date', 'ip', 'ssn', 'phone'))}))[ -]?[0-9]){{11,63}}(?![A-Za-z0-9])"
 #: How cards are written: the longest at a place is to be tried first.
 CARDS = (r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}", r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{12,19}")
 ANY = "|".join(PATTERNS[k] for k in KINDS)
 #: For texts without an @, which spares the search for names at each word.
 NUMBERS = "|".join(PATTERNS[k] for k in KINDS[1:])
+#: Classes of characters of mail names, each permuted in itself: digits, and small and capital letters of Latin (plain, accented), Greek and Cyrillic.
+ALPHABETS = ["".join(chr(c) for c in range(first, last + 1) if chr(c).isalnum()) for first, last in ((0x61, 0x7A), (0x41, 0x5A), (0x30, 0x39), (0xDF, 0xFF), (0xC0, 0xDE), (0x3AC, 0x3CE), (0x386, 0x3AB), (0x430, 0x45F), (0x400, 0x42F))]
 #: Dates from 1900-01-01 on, 270 x 271 days.
 DAYS = (270, 271)
 
@@ -82,13 +88,16 @@ def permuted_number(x: Column, a: int, b: int, key: str, kind: str) -> Column:
 
 
 def permuted_name(name: Column, key: str, kind: str) -> Column:
-    """A string whose ASCII letters and digits are shifted within their class; other characters stay. The halves are shifted in turn by a hash of the other."""
+    """A string whose digits and letters of ``ALPHABETS`` are shifted within their class; other characters stay. The halves are shifted in turn by a hash of the other."""
 
     def shifted(s: Column, other: Column, i: Column) -> Column:
         def char(c: Column, k: Column) -> Column:
             by = _noise(key, F.lit(kind), i, k, other)
-            move = lambda first, size: F.char((F.lit(first) + F.pmod(F.ascii(c) - first + by % size, F.lit(size))).cast("int"))
-            return F.when(c.rlike("^[a-z]$"), move(97, 26)).when(c.rlike("^[A-Z]$"), move(65, 26)).when(c.rlike("^[0-9]$"), move(48, 10)).otherwise(c)
+            out = c
+            for alphabet in ALPHABETS:
+                place = F.instr(F.lit(alphabet), c)
+                out = F.when(place > 0, F.lit(alphabet).substr((F.pmod(place - 1 + by % len(alphabet), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))).otherwise(out)
+            return out
 
         return F.array_join(F.transform(F.split(s, ""), char), "")
 
@@ -138,6 +147,11 @@ def _card_digits(d: Column) -> Column:
     return F.length(d).between(12, 19) & (luhn(d) == 0) & d.rlike("[1-9]")
 
 
+def _folded(m: Column) -> Column:
+    """An account number in capitals, without what separates its groups."""
+    return F.upper(F.regexp_replace(m, "[ -]", ""))
+
+
 def _account_valid(s: Column) -> Column:
     rest = s.substr(F.lit(5), F.length(s))
     return (mod97(F.concat(rest, s.substr(F.lit(1), F.lit(4)))) == 1) & s.substr(F.lit(3), F.lit(2)).cast("int").between(2, 98)
@@ -151,13 +165,13 @@ def parts(m: Column) -> Column:
     """
     whole = F.array(F.struct(F.lit(True).alias("value"), m.alias("text")))
     digits = m.rlike("^[0-9 -]+$") & m.rlike(f"^(?:{PATTERNS['card']})$")
-    passes = F.when(digits, _card_digits(digits_of(m))).when(m.rlike("^[A-Z]{2}[0-9]{2}"), _account_valid(F.regexp_replace(m, " ", ""))).otherwise(True)
+    passes = F.when(digits, _card_digits(digits_of(m))).when(m.rlike("^[A-Za-z]{2}[0-9]{2}") & m.rlike(f"^(?:{PATTERNS['iban']})$"), _account_valid(_folded(m))).otherwise(True)
     found = F.concat(*[F.regexp_extract_all(m, F.lit(rf"(?<![0-9])(?=({c})(?![0-9]))"), F.lit(1)) for c in CARDS])
 
     def cut(cards: Column) -> Column:
         known = F.array_join(cards, "|")
         stop = F.when(F.size(cards) > 0, F.concat(F.lit("(?![ -](?:"), known, F.lit(")(?![0-9]))"))).otherwise("")
-        runs = F.concat(F.lit(r"(?<![\w.])[0-9](?:"), stop, F.lit(r"[ -]?[0-9]){11,18}(?![\w])"))
+        runs = F.concat(F.lit(r"(?<![A-Za-z0-9.])[0-9](?:"), stop, F.lit(r"[ -]?[0-9]){11,18}(?![A-Za-z0-9])"))
         exact = F.concat(F.lit("(?<![0-9])(?:"), known, F.lit(")(?![0-9])"))
         pattern = F.when(digits & (F.size(cards) > 0), F.concat(exact, F.lit("|"), runs)).when(digits, runs).when(F.size(cards) > 0, exact)
         pieces = lambda p: F.flatten(F.zip_with(F.split(m, p, -1), F.regexp_extract_all(m, p, F.lit(0)), lambda g, v: F.array(F.struct(F.lit(False).alias("value"), g.alias("text")), F.struct(v.isNotNull().alias("value"), F.coalesce(v, F.lit("")).alias("text")))))
@@ -191,7 +205,7 @@ def _iban(m: Column, key: str) -> Column:
 
         return F.when(valid & F.length(digits).between(2, 30), bind(permuted_digits(digits, key, "iban"), closed))
 
-    return bind(F.regexp_replace(m, " ", ""), new)
+    return bind(_folded(m), new)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -284,7 +298,7 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     Cards must pass Luhn's check and get a new valid check digit; account numbers
     theirs modulo 97; social security numbers, IPv4 addresses, dates (1900 to
     2100), phone numbers (+, 8 to 15 digits) and e-mail addresses must be well
-    formed (phones also as (555) 123-4567 and 555-123-4567). What fails stays as it is, but for the cards in a run of digits or in what looks like an account. Leading card digit, country code of phones
+    formed (phones also as (555) 123-4567, 555-123-4567 and 555.123.4567; accounts also in small letters and with dashes). What fails stays as it is, but for the cards in a run of digits or in what looks like an account. Leading card digit, country code of phones
     and accounts, letters of accounts and mail domains are kept, and so are
     separators. A null text stays null with counts of 0; repeated rows and any
     other columns come back as they are. Columns named like a count are replaced.

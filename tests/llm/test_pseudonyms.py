@@ -147,3 +147,31 @@ def test_dates_with_slashes_stay_apart(make):
     days = [f"{d:02}/{m:02}/1999" for m in range(1, 13) for d in range(1, 29)]
     got = [r["text"] for r in P.pseudonymised(make(days), "k").collect()]
     assert len(set(got)) == len(set(days))
+
+
+@pytest.mark.parametrize("text, value, kind", [
+    ("id_4111111111111111 x", "4111111111111111", "card"), ("4111111111111111_x", "4111111111111111", "card"), ("tel_+49 30 1234567_", "+49 30 1234567", "phone"),
+    ("de89370400440532013000", "de89370400440532013000", "iban"), ("GB82-WEST-1234-5698-7654-32", "GB82-WEST-1234-5698-7654-32", "iban"), ("call 555.123.4567.", "555.123.4567", "phone"),
+    ("+1 555 123 4567 12/27", "+1 555 123 4567", "phone"), ("+49 30 1234567 12/27", "+49 30 1234567", "phone"),
+])
+def test_more_forms(make, text, value, kind):
+    row, alone = P.pseudonymised(make([text, value]), "k").orderBy("doc_id").collect()
+    assert row[f"n_{kind}"] == 1 and value != alone["text"]
+    assert row["text"] == text.replace(value, alone["text"])
+
+
+def test_accounts_stay_linked_in_any_form(make):
+    rows = [r["text"] for r in P.pseudonymised(make(["GB82 WEST 1234 5698 7654 32", "gb82west12345698765432", "GB82-WEST-1234-5698-7654-32"]), "k").orderBy("doc_id").collect()]
+    assert len({re.sub("[ -]", "", r).upper() for r in rows}) == 1 and iban_ok(rows[0])
+
+
+def test_mail_names_in_any_script(make, spark):
+    """All of a name is permuted, whatever its letters; what isn't in an alphabet stays, and the name is still one value."""
+    texts = ["jörg@example.org", "örg@example.org", "δημήτρης.9@example.org", "Иван@example.org", "x-jörg@example.org"]
+    rows = P.pseudonymised(make(texts), "k").orderBy("doc_id").collect()
+    for t, r in zip(texts, rows, strict=True):
+        name, new = t.split("@")[0], r["text"].split("@")[0]
+        assert r["n_email"] == 1 and len(name) == len(new) and name != new
+        assert sum(a == b for a, b in zip(name, new, strict=True) if a.isalnum()) <= 1
+    every = [a + b for a in P.ALPHABETS[3] for b in P.ALPHABETS[7]]
+    assert sorted(column(spark, every, lambda v: P.permuted_name(v, "k", "email"))) == sorted(every)
