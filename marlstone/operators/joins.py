@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.plans.registry import query
 from marlstone.session import Tables, sql
+from marlstone.sources.files import kept
 
 #: A side that has at most so many rows may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -118,6 +119,34 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return own.join(spread, [rc, pc, *on]).where((F.col(f"`{point}`") >= F.col(f"`{low}`")) & (F.col(f"`{point}`") < F.col(f"`{high}`"))).drop(rc, pc)
 
 
+def range_totals(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, value: str, by: list[str]) -> DataFrame:
+    """(``by``, n, total): over the pairs with low <= point < high, by columns of ``ranges``, their number and the sum of ``value``, a whole number; groups without pairs are left out.
+
+    No pair is formed: what lies in a range is what comes before its end less what comes
+    before its beginning. Points and ends of ranges are dealt by order into spans, each
+    span is summed up as it is read, and the spans before it are added. So the work is that
+    of a sort, however many points a range holds. Nulls, and ranges that hold nothing,
+    match nothing; the total is null if all values are.
+    """
+    at = points.where(F.col(f"`{point}`").isNotNull()).select(F.col(f"`{point}`").alias("_at"), F.col(f"`{value}`").cast("decimal(20, 0)").alias("_v"))
+    at = at.groupBy("_at").agg(F.count("*").alias("_n"), F.count("_v").alias("_m"), F.sum("_v").alias("_v")).withColumn("_side", F.lit(1))
+    real = ranges.where(F.col(f"`{low}`") < F.col(f"`{high}`"))
+    ends = F.explode(F.array(F.struct(F.col(f"`{low}`").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col(f"`{high}`").alias("at"), F.lit(1).alias("sign"))))
+    asks = real.select(F.struct(*[F.col(f"`{c}`") for c in by]).alias("_by"), ends.alias("_e")).select("_by", F.col("_e.at").alias("_at"), F.col("_e.sign").alias("_sign"), F.lit(0).alias("_side"))
+    both = at.unionByName(asks, allowMissingColumns=True)
+    # files hold the spans, as numbers of tasks must not change between the two readings
+    spans = kept(both.repartitionByRange("_at", "_side").withColumn("_span", F.spark_partition_id()))
+    sums, zero = ("_n", "_m", "_v"), F.lit(0).cast("decimal(38, 0)")
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # one row a span
+    whole = spans.groupBy("_span").agg(*[F.sum(c).cast("decimal(38, 0)").alias(c) for c in sums])
+    whole = whole.select("_span", *[F.coalesce(F.sum(c).over(earlier), zero).alias(f"{c}_before") for c in sums])
+    within = Window.partitionBy("_span").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    run = spans.select("*", *[F.coalesce(F.sum(c).over(within).cast("decimal(38, 0)"), zero).alias(f"{c}_run") for c in sums]).where("_side = 0")
+    run = run.join(F.broadcast(whole), "_span").select("_by", *[((F.col(f"{c}_run") + F.col(f"{c}_before")) * F.col("_sign")).cast("decimal(38, 0)").alias(c) for c in sums])
+    out = run.groupBy("_by").agg(*[F.sum(c).alias(c) for c in sums]).where("_n > 0")
+    return out.select("_by.*", F.col("_n").cast("long").alias("n"), F.when(F.col("_m") > 0, F.col("_v").cast("long")).alias("total"))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], on: list[str] | None = None) -> DataFrame:
     """Pairs of ranges that share a point, and equal columns ``on`` if given.
 
@@ -206,7 +235,7 @@ def join_range_levels(t: Tables) -> DataFrame:
     """Purchases while an error lasts, with errors of a minute to days."""
     errors = t.events.where("event_type = 'error'").selectExpr("event_id", "ts AS since", "ts + make_dt_interval(0, 0, cast(floor(value * value) AS int), 0) AS till")
     buys = t.events.where("event_type = 'purchase'").selectExpr("event_id AS buy_id", "ts AS at")
-    return range_join(buys, errors, "at", "since", "till").groupBy("event_id").agg(F.count("*").alias("n"), F.sum("buy_id").alias("ids"))
+    return range_totals(buys, errors, "at", "since", "till", "buy_id", ["event_id"]).withColumnRenamed("total", "ids")
 
 
 _PERIODS = "SELECT o_custkey, o_orderkey, o_orderdate, max(l_shipdate) AS shipped FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"

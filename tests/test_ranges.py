@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators.joins import overlap_join, range_join
+from marlstone.operators.joins import overlap_join, range_join, range_totals
+from marlstone.plans.catalog import QUERIES
 
 
 def numbers(rng, n):
@@ -44,3 +45,27 @@ def test_equal_keys_and_overlaps(spark):
     want = {(i, j) for i, k, a_, b_ in a for j, m, c, d in b if k == m and a_ < d and c < b_ and a_ < b_ and c < d}
     got = [(r["i"], r["j"]) for r in overlap_join(left, right, ("a", "b"), ("c", "d"), on=["k"]).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_totals_form_no_pairs(spark):
+    rng = random.Random(8)
+    p = [(rng.randrange(40), rng.choice([None, i, -i, 1 << 40])) for i in range(400)] + [(None, 5), (41, None)]
+    r = [(rng.randrange(30), a, a + rng.randrange(-3, 30)) for a in (rng.randrange(45) for _ in range(150))] + [(90, None, 4), (91, 4, None), (92, 60, 70), (None, 0, 50), (93, 41, 42)]
+    want = {}
+    for k, a, b in r:
+        for x, v in p:
+            if None not in (a, b, x) and a <= x < b:
+                want.setdefault(k, []).append(v)
+    points, ranges = spark.createDataFrame(p, "x int, v long").repartition(3), spark.createDataFrame(r, "k int, a int, b int").repartition(3)
+    out = range_totals(points, ranges, "x", "a", "b", "v", ["k"])
+    got = {q["k"]: (q["n"], q["total"]) for q in out.collect()}
+    assert got == {k: (len(vs), sum(kept) if (kept := [v for v in vs if v is not None]) else None) for k, vs in want.items()}
+    assert range_totals(points.limit(0), ranges, "x", "a", "b", "v", ["k"]).count() == range_totals(points, ranges.limit(0), "x", "a", "b", "v", ["k"]).count() == 0
+
+
+def test_long_errors_over_many_purchases(spark, tmp_path):
+    events = spark.range(40_000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) as ts", "0L as user_id", "if(id % 2 = 0, 'error', 'purchase') as event_type", "100d as value", "'' as props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["join_range_levels"](spark, str(tmp_path))  # 200 million pairs
+    assert "_cell" not in out._jdf.queryExecution().toString()
+    assert out.agg(F.sum("n"), F.max("n"), F.count("*")).first() == (20_000 * 20_001 // 2, 20_000, 20_000)
