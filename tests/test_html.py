@@ -3,9 +3,11 @@
 import random
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 
 from marlstone.functions.html import BLOCKS, fields, html_fields
+from marlstone.plans.catalog import QUERIES
 
 
 @pytest.mark.parametrize("page, text", [
@@ -93,3 +95,14 @@ def test_odd_rows(spark):
     assert out[0] is None and out[1]["text"] == "" and out[2] == out[3]
     assert out[4]["text"] == " ".join(["w"] * 200_000) and out[5]["text"] == "<" * 100_000
     assert df.limit(0).select(html_fields("html")).count() == 0
+
+
+def test_twin_of_cut_entities(spark, tmp_path):
+    pages = [(1, "<title>a &amp; b &lt</title><p>x&amp&amp;&quot y &ampamp; &amp;lt;<p>1 &lt2 &copy &middot</p><a href=x>z</a>"), (2, "<p>cut&am"), (3, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    twin = duckdb.connect()
+    twin.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    query = QUERIES["html_blocks"]
+    want = {r[0]: r[1:] for r in twin.sql(f"select page_id, title, text, blocks, links from ({query.oracle})").fetchall()}
+    got = {r["page_id"]: (r["title"], r["text"], r["blocks"], r["links"]) for r in query(spark, str(tmp_path)).collect()}
+    assert got == want and got[1][:2] == ("a & b <", 'a & b <\nx&&" y &amp; &lt;\n1 <2 © ·\nz')
