@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,14 @@ def test_a_table_that_is_written_anew_is_read_with_its_new_schema(spark, tmp_pat
         spark.sql(f"SELECT {columns} FROM range(3)").write.mode("overwrite").parquet(f"{tmp_path}/region.parquet")
         got = Tables(spark, str(tmp_path)).region
         assert got.columns == (["id"] if columns == "id" else ["id", "twice"])
+
+
+def test_lateral_join_puts_nulls_last(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = [(None, 1, 5.0), (7, 1, 5.0), (8, 1, 5.0), (9, 1, None), (4, 2, None), (None, 2, 1.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    twin = duckdb.connect()
+    for name in ("customer", "orders"):
+        twin.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {tuple(r) for r in QUERIES["join_lateral"](spark, str(tmp_path)).collect()}
+    assert got == set(twin.sql(QUERIES["join_lateral"].oracle).fetchall()) == {(1, 7), (2, None)}
