@@ -23,6 +23,14 @@ from marlstone.plans.registry import query
 from marlstone.session import Tables
 from marlstone.sources.files import kept, scratch
 
+#: Rows that a file of a table, and a task of a merge, has on average at most.
+FILE_ROWS = 250_000
+
+
+def tasks(rows: int) -> int:
+    """The number of tasks that so many rows are dealt to."""
+    return max(-(-rows // FILE_ROWS), 1)
+
 
 class MergeConflict(RuntimeError):
     """Another merge has published the version first."""
@@ -91,13 +99,14 @@ class VersionedTable:
 
     @classmethod
     def create(cls, df: DataFrame, path: str, keys: list[str], files: int | None = None) -> VersionedTable:
-        """Write ``df`` as version 0, in about ``files`` files by ranges of the keys."""
+        """Write ``df`` as version 0, in about ``files`` files by ranges of the keys, or more, so that none has far over FILE_ROWS rows."""
         spark = df.sparkSession
         out = cls.__new__(cls)
         out.spark, out.path, out.keys, out.schema = spark, path.rstrip("/"), keys, df.schema
         out._paths, out._conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
         out._files = out._paths(out.path).getFileSystem(out._conf)
-        out._publish(0, out._write(df, files))
+        least = tasks(df.count())
+        out._publish(0, out._write(df, max(files or 1, least) if files or least > 1 else None))
         return cls(spark, path)
 
     # --- versions -----------------------------------------------------------------
@@ -199,14 +208,16 @@ class VersionedTable:
         near = self._overlapping(source)
         touched = set()
         if near:
-            held = self._of(near).select(*keys, F.col("_metadata.file_path").alias("_file"))
-            hit = held.join(source.select(*keys).distinct(), self.keys, "left_semi").select("_file").distinct()
+            n = tasks(sum(f["rows"] for f in near) + source.count())
+            held = self._of(near).select(*keys, F.col("_metadata.file_path").alias("_file")).repartition(n, *keys)
+            hit = held.join(source.select(*keys).repartition(n, *keys).distinct(), self.keys, "left_semi").select("_file").distinct()
             touched = {r["_file"] for r in hit.collect()}
         if of("by_source"):
             touched = {f["path"] for f in self.files}
         mine = [f for f in self.files if f["path"] in touched]
         on = reduce(Column.__and__, [F.col(f"t.`{k}`") == F.col(f"s.`{k}`") for k in self.keys])
-        rows = self._of(mine)
+        total = sum(f["rows"] for f in mine) + source.count()
+        rows, source = self._of(mine).repartition(tasks(total), *keys), source.repartition(tasks(total), *keys)  # a task's rows are bounded, whatever the table's size
         self._refuse_duplicates(rows, source)
         given = source.withColumn("_given", F.lit(True)).alias("s")
         both = rows.alias("t").join(given, on, "left").withColumn("_matched", F.coalesce(F.col("s._given"), F.lit(False)))
@@ -219,7 +230,7 @@ class VersionedTable:
             new = given.join(rows.select(*keys).distinct().alias("t"), on, "left_anti").withColumn("_clause", self._chosen(inserts, F.lit(True)))
             new = new.where("_clause > 0")
             result = result.unionByName(new.select(*[self._value(name, inserts, inserted=True) for name in self.schema.names]))
-        written = self._write(result, max(len(mine), 1))
+        written = self._write(result, max(len(mine), tasks(total)))
         self._publish(self.at + 1, [f for f in self.files if f["path"] not in touched] + written)
         return VersionedTable(self.spark, self.path)
 
@@ -253,8 +264,10 @@ def _orders(t: Tables) -> VersionedTable:
 
 def _changes(t: Tables) -> DataFrame:
     """Per order: lines and their price, for the orders of every third customer, and copies of some under new keys."""
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))
-    own = t.orders.where("o_custkey % 3 = 0").join(lines, "o_orderkey").select("o_orderkey", "o_custkey", "lines", "quantity")
+    n = tasks(t.orders.count())
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity").repartition(n, "o_orderkey")
+    lines = lines.groupBy("o_orderkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))
+    own = t.orders.where("o_custkey % 3 = 0").repartition(n, "o_orderkey").join(lines, "o_orderkey").select("o_orderkey", "o_custkey", "lines", "quantity")
     return own.unionByName(own.where("lines > 4").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000))
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.sources import tables
 from marlstone.sources.tables import DuplicateMatch, MergeConflict, VersionedTable
 
 
@@ -82,3 +83,11 @@ def test_a_merge_reads_only_keys_of_files_that_may_match(spark, table):
     assert 0 < len(near) < len(table.files)
     plan = table._of(near).select("k", F.col("_metadata.file_path"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<k:int>" in plan
+
+
+def test_files_and_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_ROWS", 100)
+    table = VersionedTable.create(spark.range(2000).selectExpr("id as k", "0 as g"), f"file://{tmp_path}/t", ["k"], files=2)
+    after = table.merge(spark.range(1000, 3000).selectExpr("id as k")).update({"g": "1"}).insert({"k": "s.k", "g": "2"}).run()
+    assert max(f["rows"] for f in table.files + after.files) < 300
+    assert after.read().groupBy("g").count().orderBy("g").collect() == [(0, 1000), (1, 1000), (2, 1000)]
