@@ -1,4 +1,4 @@
-"""Near-duplicate texts by min-wise signatures of word shingles, on the JVM alone.
+"""Near-duplicate texts by min-wise signatures of word shingles.
 
 A text's shingles are hashed once. The top bits of a hash name one of BINS bins; the
 least hash of a bin is its sample of the set (one permutation for all bins), so a
@@ -11,6 +11,11 @@ least hash); those that may still reach the threshold are compared by their sets
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,34 +35,51 @@ FEW = 32
 LONGER, DEPTH = 8, 4
 
 
-def shingles(text: Column, words: int) -> Column:
-    """The runs of so many words, with repeats; a shorter text is one shingle, a text without words has none."""
-    def runs(w: Column) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1)))
-        return F.when(F.size(w) > 0, F.transform(at, lambda i: F.array_join(F.slice(w, i, words), " "))).otherwise(F.array().cast("array<string>"))
+def _hashes(text: bytes | None, words: int, kind: str) -> np.ndarray:
+    """The distinct 60-bit hashes of a text's runs of so many words, in order; a shorter text is one run, a text without words has none."""
+    split = (text or b"").split()
+    if not split:
+        return np.zeros(0, np.int64)
+    run = (lambda x: hashlib.md5(x, usedforsecurity=False).digest()) if kind == "md5" else (lambda x: xxhash.xxh64_digest(x, 42))
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1)
+    starts = np.concatenate(([0], ends[: max(len(split) - words, 0)])).tolist()
+    line = b" ".join(split)
+    found = b"".join([run(line[i:j])[:8] for i, j in zip(starts, (ends[min(words, len(split)) - 1 :] - 1).tolist(), strict=True)])
+    return np.unique((np.frombuffer(found, ">u8") >> np.uint64(64 - BITS)).astype(np.int64))
+
 
-    split = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
-    return F.element_at(F.transform(F.array(split), runs), 1)
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
 
 
-def by_engine(shingle: Column) -> Column:
-    """A 60-bit hash."""
-    return F.shiftrightunsigned(F.xxhash64(shingle), 64 - BITS)
+def hashed(text: Column, words: int) -> Column:
+    """A text's hashes as an array."""
+    @F.arrow_udf("array<long>")
+    def work(texts: pa.Array) -> pa.Array:
+        return _lists([_hashes(x.as_py(), words, "xxh64") for x in texts.cast(pa.binary())])
 
+    return work(text)
 
-def by_md5(shingle: Column) -> Column:
-    """A 60-bit hash that any engine with MD5 can make."""
-    return F.conv(F.substring(F.md5(shingle), 1, BITS // 4), 16, 10).cast("long")
 
+def signed(docs: DataFrame, words: int = 5, kind: str = "xxh64") -> DataFrame:
+    """(doc_id, text_hash, set, n, mins): each text's set of hashes by a digest of 128 bits, its size, and the least hash of each bin that it fills, in order.
+
+    ``kind`` names the hash, "xxh64" or "md5", which any engine has. Batches travel in Arrow;
+    a text's words are joined once, runs are cuts of that, and only the signature goes back.
+    """
+    @F.arrow_udf("struct<set string, n long, mins array<long>>")
+    def work(texts: pa.Array) -> pa.Array:
+        sets, sizes, mins = [], [], []
+        for x in texts.cast(pa.binary()):
+            h = _hashes(x.as_py(), words, kind)
+            sets.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
+            sizes.append(len(h))
+            mins.append(h[np.unique(h >> (BITS - BIN), return_index=True)[1]])
+        return pa.StructArray.from_arrays([pa.array(sets, pa.string()), pa.array(sizes, pa.int64()), _lists(mins)], ["set", "n", "mins"])
 
-def signed(docs: DataFrame, words: int = 5, hashed=by_engine) -> DataFrame:
-    """(doc_id, text_hash, set, n, mins): each text's set of hashes by two digests, its size, and the least hash of each bin that it fills, in order."""
-    hashes = F.array_sort(F.array_distinct(F.transform(shingles(F.col("text"), words), hashed)))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), hashes.alias("hashes"))
-    bin_of = lambda x: F.shiftright(x, BITS - BIN)
-    first = lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get("hashes", i - 1)))
-    digest = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(s), "hashes")), 16, "0") for s in (1, 2)])
-    return rows.select("doc_id", "text_hash", digest.alias("set"), F.size("hashes").cast("long").alias("n"), F.filter("hashes", first).alias("mins"))
+    # not to be run once more for a filter on what it gives
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), work.asNondeterministic()("text").alias("_s"))
+    return rows.select("doc_id", "text_hash", "_s.*")
 
 
 def b_bit(mins: Column) -> Column:
@@ -115,7 +137,7 @@ class _Sets:
         """(a, b, similarity) of those of ``pairs`` whose sets reach the threshold; only their texts are read again."""
         asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(self.one.select("set", "text_hash"), "set")
         texts = self.docs.withColumn("text_hash", F.xxhash64("text")).join(small(asked.select("text_hash").distinct()), "text_hash", "left_semi").dropDuplicates(["text_hash", "text"])
-        hashes = F.array_distinct(F.transform(shingles(F.col("text"), self.words), by_engine))
+        hashes = hashed(F.col("text"), self.words)
         sets = kept(texts.select("text_hash", hashes.alias("hashes")).join(asked, "text_hash").select("set", "hashes"))
         of = lambda c: sets.select(F.col("set").alias(c), F.col("hashes").alias(f"hashes_{c}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("hashes_a", "hashes_b")))
@@ -194,7 +216,7 @@ m AS (SELECT doc_id, h >> 53 AS bin, min(h) AS h FROM h GROUP BY doc_id, bin)
 SELECT doc_id, n, sig FROM (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id) JOIN (SELECT doc_id, list(CAST(bin * 65536 + (h & 65535) AS INTEGER) ORDER BY bin) AS sig FROM m GROUP BY doc_id) USING (doc_id)""")
 def minhash_signatures(t: Tables) -> DataFrame:
     """The b-bit signature of every document with words, of hashes that both engines have."""
-    return signed(t.documents, hashed=by_md5).where("n > 0").select("doc_id", "n", b_bit(F.col("mins")).alias("sig"))
+    return signed(t.documents, kind="md5").where("n > 0").select("doc_id", "n", b_bit(F.col("mins")).alias("sig"))
 
 
 @query(_SHINGLES.replace("WITH w", "WITH RECURSIVE w") + """,

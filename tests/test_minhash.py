@@ -1,8 +1,11 @@
 """Near-duplicates against all pairs, in crowded keys too."""
 
+import itertools
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.functions import minhash as M
 from marlstone.operators.graph import connected
@@ -98,3 +101,16 @@ def test_components(spark):
     want = groups(500, [p for p in links if p[0] is not None])
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {n: want[n] for p in links if p[0] is not None for n in p}
+
+
+def test_hashes_are_the_engine_s(spark):
+    texts = ["", None, "one", "a b", " a\tb c\nd e f  g ", "x y " * 40, "é\u00a0ü a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in M.signed(df).join(df.select("doc_id", M.hashed(F.col("text"), 5).alias("h")), "doc_id").collect()}
+    for i, text in enumerate(texts):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+        runs = {" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+        want = sorted(r[0] for r in spark.createDataFrame([(x,) for x in sorted(runs)], "s string").selectExpr("shiftrightunsigned(xxhash64(s), 4)").collect())
+        assert got[i]["h"] == want and got[i]["n"] == len(want)
+        assert got[i]["mins"] == [min(g) for _, g in itertools.groupby(want, lambda x: x >> 53)]
+    assert str(M.signed(df).where("n > 0")._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
