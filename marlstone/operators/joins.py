@@ -15,6 +15,8 @@ from marlstone.sources.files import kept
 BROADCAST_ROWS = 100_000
 #: Rows of a key, of both sides, that an as-of join keeps in one span.
 SPAN_ROWS = 1_000_000
+#: Pairs of a key that one task of a join of few keys makes.
+TASK_PAIRS = 1_000_000
 #: The greatest double, and the least length of a range that levels tell apart.
 MOST, LEAST = 1.7976931348623157e308, 2.0**-1000
 
@@ -24,6 +26,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def right_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """The right outer join by one key, whose pairs are dealt evenly to tasks if keys are few and crowded.
+
+    The rows of ``right`` are cut into as many shares as the most crowded key asks for, and
+    each share meets all of ``left``. So a task's pairs are bounded; all pairs are still made.
+    """
+    count = lambda df, key, name: df.groupBy(F.col(f"`{key}`").alias("_k")).agg(F.count("*").alias(name))
+    made = count(left, left_key, "_a").join(count(right, right_key, "_b"), "_k").select((F.col("_a").cast("double") * F.col("_b")).alias("_p"))
+    most, total = made.agg(F.max("_p"), F.sum("_p")).first()
+    shares = math.ceil((most or 0) / TASK_PAIRS)
+    if shares < 2:
+        return left.join(right, F.col(f"`{left_key}`") == F.col(f"`{right_key}`"), "right")
+    n, ls, rs = math.ceil(total / TASK_PAIRS), fresh_name("_left_share", left, right), fresh_name("_right_share", left, right)
+    lhs = left.withColumn(ls, F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartition(n, left_key, ls)
+    rhs = right.withColumn(rs, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in right.columns]), F.lit(shares)).cast("int")).repartition(n, right_key, rs)
+    return lhs.join(rhs, (F.col(f"`{left_key}`") == F.col(f"`{right_key}`")) & (F.col(ls) == F.col(rs)), "right").drop(ls, rs)
+
+
 def fresh_name(name: str, *tables: DataFrame) -> str:
     """``name``, with underscores before it until no table has it."""
     taken = {c.lower() for df in tables for c in df.columns}
@@ -179,7 +199,7 @@ def join_left(t: Tables) -> DataFrame:
 def join_right(t: Tables) -> DataFrame:
     """Right outer join."""
     c = t.customer.where("c_acctbal > 9000")
-    return t.supplier.where("s_acctbal > 5000").join(c, F.col("s_nationkey") == F.col("c_nationkey"), "right").select("s_suppkey", "c_custkey")
+    return right_join(t.supplier.where("s_acctbal > 5000"), c, "s_nationkey", "c_nationkey").select("s_suppkey", "c_custkey")
 
 
 @query("""SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM (SELECT * FROM part WHERE p_size < 10) a FULL JOIN (SELECT * FROM part WHERE p_size BETWEEN 5 AND 15) b ON a.p_partkey = b.p_partkey""")

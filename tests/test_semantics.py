@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.operators import joins
 from marlstone.operators.joins import as_of, range_join
 from marlstone.plans.catalog import QUERIES
 from marlstone.session import Tables
@@ -80,3 +81,13 @@ def test_lateral_join_puts_nulls_last(spark, tmp_path):
         twin.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
     got = {tuple(r) for r in QUERIES["join_lateral"](spark, str(tmp_path)).collect()}
     assert got == set(twin.sql(QUERIES["join_lateral"].oracle).fetchall()) == {(1, 7), (2, None)}
+
+
+def test_right_join_of_a_crowded_key(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_PAIRS", 100)
+    left = spark.createDataFrame([(i, None if i % 9 == 0 else i % 3) for i in range(60)], "a int, k int")
+    right = spark.createDataFrame([(i, None if i % 7 == 0 else i % 4) for i in range(80)] * 2, "b int, j int")
+    out = joins.right_join(left, right, "k", "j")
+    want = left.join(right, F.col("k") == F.col("j"), "right")
+    assert out.columns == want.columns and sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    assert max(out.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < out.count() / 4
