@@ -12,7 +12,7 @@ a join key, for each of the three pairs of segments.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -207,8 +207,8 @@ WIDE_PAIRS = tuple(combinations(range(WIDE_SEGMENTS), 2))
 STEEP = 2
 #: Bits in which 64-bit fingerprints of equal weights may differ: 9.7 in the mean at a similarity of 0.8.
 APART = 24
-#: Up to so many classes of one key are compared pair by pair; beyond, each with so many of them, and with the next by fingerprint.
-PAIRED, HEADS, NEXT = 64, 8, 4
+#: Up to so many classes of one key are compared pair by pair; beyond, with the least of them, and what that leaves apart by the rarest shingles.
+PAIRED = 16
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -297,20 +297,78 @@ def _near(similarity: float) -> Column:
     return (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= APART) & (F.least("n", "n_b") >= similarity * F.greatest("n", "n_b")) & (F.col("id") != F.col("id_b"))
 
 
-def candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of classes (id, lo, hi, fp, n) that share a key and may be similar by fingerprint and size."""
+def candidates(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes (id, lo, hi, fp, n) that share a key and may be similar by fingerprint and size; and (key, id), the members of crowded keys.
+
+    Of a key that over PAIRED classes have as their near one, the least alone is
+    paired with the others, which is linear work; ``rest`` finds what that leaves.
+    """
     left, right = _wide_keyed(classes, False, similarity), _wide_keyed(classes, True, similarity)
-    crowded = bounded(staged(left.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > PAIRED), "crowded"))
-    few, many = left.join(crowded, "key", "left_anti"), staged(left.join(crowded, "key", "left_semi"), "crowded_rows")
-    heads = many.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id"))).where(F.col("r") <= HEADS).drop("r")
+    crowded = bounded(staged(left.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("head")).where(F.col("members") > PAIRED), "crowded"))
+    few, many = left.join(crowded, "key", "left_anti"), staged(left.join(crowded, "key"), "crowded_rows")
+    heads = many.where("id = head").select("key", "id", "fp", "n", F.lit(True).alias("crowded"))
     other = right.select("key", F.col("id").alias("id_b"), F.col("fp").alias("fp_b"), F.col("n").alias("n_b"))
-    met = few.unionByName(heads).hint("shuffle_hash").join(other, "key").where(_near(similarity)).select("id", "id_b")
-    order = Window.partitionBy("key").orderBy("fp", "id")
-    after = many.select("id", "fp", "n", *[F.lead(F.struct("id", "fp", "n"), k).over(order).alias(f"next{k}") for k in range(1, NEXT + 1)])
-    after = after.select("id", "fp", "n", F.explode(F.array(*[f"next{k}" for k in range(1, NEXT + 1)])).alias("o")).where("o is not null")
-    after = after.select("id", "fp", "n", F.col("o.id").alias("id_b"), F.col("o.fp").alias("fp_b"), F.col("o.n").alias("n_b")).where(_near(similarity)).select("id", "id_b")
-    both = met.unionByName(after)
-    return both.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+    met = few.withColumn("crowded", F.lit(False)).unionByName(heads).hint("shuffle_hash").join(other, "key").withColumn("near", _near(similarity))
+    met = staged(met.where("near or crowded").select("key", "id", "id_b", "crowded", "near"), "met")
+    pairs = met.where("near").select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+    return pairs, many.select("key", "id").unionByName(met.where("crowded").select("key", F.col("id_b").alias("id")))
+
+
+def _linked(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets in ``held`` (id, held) have a Jaccard similarity of at least ``similarity``."""
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("held").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
+    return both.where(F.col("common") >= similarity * (F.col("all") - F.col("common")) - 1e-9).select("a", "b")
+
+
+def _prefixes(held: DataFrame, similarity: float) -> DataFrame:
+    """(token, id, n, at): the rarest elements of each of n in ``held`` (id, held), by place; sets of at least ``similarity`` have one of them in common.
+
+    Such sets differ in at most n - similarity * n elements of either, so one more,
+    in any order that is the same for all, can't all be missing from the other.
+    """
+    each = held.select("id", F.size("held").alias("n"), F.explode("held").alias("token"))
+    often = bounded(staged(each.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "shared_tokens"))
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("sets", F.lit(1)).alias("sets"), "token")))
+    ranked = each.join(often, "token", "left").groupBy("id").agg(F.first("n").alias("n"), order.alias("order"))
+    first = ranked.select("id", "n", F.posexplode(F.slice("order", F.lit(1), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1)).alias("at", "e"))
+    return first.where("e.sets > 1").select("e.token", "id", "n", "at")
+
+
+def _apart(similarity: float) -> Column:
+    """Whether two sets with an element in common, at their places ``at`` and ``at_b``, belong to different roots and may be similar if it is the first they share."""
+    needed = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("n_b")) - 1e-9)
+    return (F.col("root") != F.col("root_b")) & (F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= needed)
+
+
+def rest(crowd: DataFrame, links: DataFrame, held_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar members of crowded keys (key, id) that ``links`` leaves apart, with ``links``.
+
+    Keys whose members are connected need no more. Of the others, sets of different
+    roots that share one of their rarest elements are compared. An element's members of
+    the root that has most of them aren't paired with each other, so a large group costs
+    only what is outside of it.
+    """
+    tree = staged(components(links), "tree")
+    rooted = crowd.join(tree, crowd["id"] == tree["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    roots = staged(rooted.join(several, "key").select("id", "root").distinct(), "open_roots")
+    if roots.isEmpty():
+        return links
+    held = held_of(roots.select("id"))
+    rows = staged(_prefixes(held, similarity).join(bounded(roots), "id"), "prefixes")
+    largest = F.floor((1 + similarity) / similarity * (F.col("n") - F.col("at")) - F.col("n") + 1e-6)  # the largest set that may be similar
+    least = rows.groupBy("token").agg(F.min("n").alias("least_n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    rows = rows.join(bounded(staged(least.select("token", "least_n"), "open_tokens")), "token")
+    rows = staged(rows.where(largest >= F.col("least_n")).drop("least_n"), "open_prefixes")
+    counted = rows.groupBy("token", "root").agg(F.count("*").alias("sets"))
+    most = counted.groupBy("token").agg(F.max(F.struct("sets", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    most = bounded(staged(most.select("token", F.col("most.root").alias("main")), "main_roots"))
+    other = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "root")])
+    both = rows.join(most, "token").where("root <> main").join(other, "token")
+    both = both.where(_apart(similarity) & ((F.col("root_b") == F.col("main")) | (F.col("id") < F.col("id_b"))))
+    pairs = staged(both.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), "open_pairs")
+    return links.unionByName(_linked(pairs, held, similarity))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -335,11 +393,6 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     rows = staged(slim.mapInArrow(work, "doc_id long, text_hash long, lo long, hi long, fp long, n long").withColumn("id", F.xxhash64("lo", "hi", "fp", "n")), "fingerprints")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_hash"))
     classes = staged(rows.groupBy("id", "lo", "hi", "fp", "n").agg(least.alias("first"), F.min("doc_id").alias("first_id")), "classes")
-    pairs = staged(candidates(classes, similarity), "candidates")
-    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate_ids")
-    wanted = bounded(staged(classes.join(ids, "id").select("id", "first.*"), "candidate_documents"))
-    key = (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == wanted["doc"]) & (slim["text_hash"] == wanted["text_hash"])
-    texts = slim.join(wanted, key).select("id", "text")
     sets = pa.schema([("id", pa.int64()), ("held", pa.list_(pa.int32()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,10 +400,17 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             held = [np.unique(shingles(t.as_py(), words).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32()))], schema=sets)
 
-    held = staged(texts.mapInArrow(hashed, "id long, held array<int>").dropDuplicates(["id"]), "candidate_shingles")
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("held").alias("y")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
-    tree = components(both.where(F.col("common") >= similarity * (F.col("all") - F.col("common")) - 1e-9).select("a", "b"))
+    def held_of(ids: DataFrame) -> DataFrame:
+        wanted = bounded(staged(classes.join(ids, "id").select("id", "first.*"), "candidate_documents"))
+        key = (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == wanted["doc"]) & (slim["text_hash"] == wanted["text_hash"])
+        texts = slim.join(wanted, key).select("id", "text")
+        return staged(texts.mapInArrow(hashed, "id long, held array<int>").dropDuplicates(["id"]), "candidate_shingles")
+
+    found, crowd = candidates(classes, similarity)
+    pairs = staged(found, "candidates")
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate_ids")
+    links = staged(_linked(pairs, held_of(ids), similarity), "links")
+    tree = components(rest(crowd, links, held_of, similarity))
     named = classes.join(tree, classes["id"] == tree["node"], "left").select("id", "first_id", F.coalesce("root", "id").alias("group"))
     first = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
     of = staged(named.join(first, "group").select("id", "group", "component_id"), "class_groups")

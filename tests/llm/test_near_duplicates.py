@@ -128,6 +128,18 @@ def test_a_large_group_is_one(make, words, monkeypatch):
     assert len({got[i] for i in range(155)}) == 1 and got[155] == 155
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_crowded_keys_lose_no_link(make, words, monkeypatch, seed):
+    """Variants of one text, most of which are similar to few others: groups are those of all pairs."""
+    from random import Random
+
+    monkeypatch.setattr(simhash, "PAIRED", 2)
+    rng, hub = Random(seed), words(150, 70 + seed)
+    texts = [edited(rng, hub, rng.randint(2, 4)) for _ in range(160)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(make(texts)).collect()}
+    assert got == plain_components(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+
+
 def test_one_of_each_with_clashing_columns(make, words):
     clashing = ("dedup_id", "dedup_hash", "_kept_id", "kept_id", "kept_hash", "group", "component_id", "text_hash", "id", "fp")
     docs = make([words(90, 1), words(90, 1) + " x", None, ""]).select("*", *[F.lit(c).alias(c) for c in clashing])
