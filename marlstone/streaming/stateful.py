@@ -17,6 +17,8 @@ from marlstone.streaming.events import run, stream
 
 #: How late a row may be, and the silence that ends a session, in milliseconds.
 LATE_MS, GAP_MS = 600_000, 1_800_000
+#: A processor is called for up to so many users of consecutive ids at once, as each call and each read of state has its price.
+USERS = 64
 
 
 @contextmanager
@@ -31,11 +33,17 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def _users(part: pd.DataFrame) -> list[int | None]:
+    """The users of a frame's rows; those without an id are a group of their own."""
+    return [None] * len(part) if part["user_id"].isna().all() else part["user_id"].tolist()
+
+
 class Sessions(StatefulProcessor):
-    """A key's rows in sessions: rows closer than a gap belong together; a session is given out once the watermark is a gap past its last row.
+    """Rows of a group of users in sessions: a user's rows closer than a gap belong together; a session is given out once the watermark is a gap past its last row.
 
-    Open sessions are in a map from their first time to their last and number of rows, so
-    that rows may come in any order and join two of them; one timer waits for the first that can end.
+    Open sessions are one value of state, arrays in order of user and time, so that rows may come in any
+    order and join two of them; a group is read and written once, however many sessions it has. One timer, kept
+    with them, waits for the first that can end.
     """
 
     def __init__(self, gap_ms: int = GAP_MS):
@@ -43,59 +51,65 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "first long", "last long, n long")
+        self.open = handle.getValueState("open", "user array<long>, first array<long>, last array<long>, n array<long>, timer long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spans = [(k[0], *v) for k, v in self.open.iterator()]
+        spans, timer = self._held()
         for part in rows:
-            spans += [(ms, ms, 1) for ms in part["ms"]]
-        self._keep(spans)
+            spans += [(user, ms, ms, 1) for user, ms in zip(_users(part), part["ms"].tolist(), strict=True)]
+        self._keep(spans, timer)
         return iter(())
 
-    def _keep(self, spans: list[tuple[int, int, int]]) -> None:
-        joined: list[list[int]] = []
-        for first, last, n in sorted(spans):
-            if joined and first < joined[-1][1] + self.gap:
-                joined[-1] = [joined[-1][0], max(joined[-1][1], last), joined[-1][2] + n]
+    def _held(self) -> tuple[list[tuple], int | None]:
+        held = self.open.get() if self.open.exists() else None
+        return ([], None) if held is None else (list(zip(*held[:4], strict=True)), held[4])
+
+    def _keep(self, spans: list[tuple], timer: int | None) -> None:
+        joined: list[list] = []
+        for user, first, last, n in sorted(spans):
+            if joined and user == joined[-1][0] and first < joined[-1][2] + self.gap:
+                joined[-1] = [user, joined[-1][1], max(joined[-1][2], last), joined[-1][3] + n]
             else:
-                joined.append([first, last, n])
-        self.open.clear()
-        for first, last, n in joined:
-            self.open.updateValue((first,), (last, n))
-        for ms in list(self.handle.listTimers()):
-            self.handle.deleteTimer(ms)
+                joined.append([user, first, last, n])
+        due = min(s[2] for s in joined) + self.gap if joined else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
         if joined:
-            self.handle.registerTimer(joined[0][1] + self.gap)
+            self.open.update((*map(list, zip(*joined, strict=True)), due))
+        else:
+            self.open.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        spans = [(k[0], *v) for k, v in self.open.iterator()]
-        done = sorted(s for s in spans if s[1] + self.gap <= now)
-        self._keep([s for s in spans if s[1] + self.gap > now])
+        spans, _ = self._held()
+        done = [s for s in spans if s[2] + self.gap <= now]
+        self._keep([s for s in spans if s[2] + self.gap > now], None)  # the timer that has expired is gone
         if done:
-            yield pd.DataFrame({"user_id": [key[0]] * len(done), "first_ms": [s[0] for s in done], "n": [s[2] for s in done]})
+            yield pd.DataFrame({"user_id": pd.array([s[0] for s in done], "Int64"), "first_ms": [s[1] for s in done], "n": [s[3] for s in done]})
 
     def close(self) -> None:
         pass
 
 
 class Sorted(StatefulProcessor):
-    """A key's rows in order of time, once the watermark rules out earlier ones, each with its number, the time since the one before, and the running sum.
+    """Rows of a group of users in order of time, once the watermark rules out earlier ones, each with its number, the time since the user's one before, and the running sum.
 
-    Rows wait in a list; what has been given out is summed up in one value. So analytic windows
+    Rows wait in a list; what has been given out is summed up in one value a user. So analytic windows
     over all rows before, which streams don't have, hold no more rows than are still open.
     """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, id long, value double")
-        self.given = handle.getValueState("given", "n long, ms long, total double")
+        self.waiting = handle.getListState("waiting", "user long, ms long, id long, value double")
+        self.given = handle.getMapState("given", "user long", "n long, ms long, total double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for part in rows for r in zip(part["ms"].tolist(), part["event_id"].tolist(), part["value"].tolist(), strict=True)]
+        new = [r for part in rows for r in zip(_users(part), part["ms"].tolist(), part["event_id"].tolist(), part["value"].tolist(), strict=True)]
         if new:
             self.waiting.appendList(new)
-            self._wait(min(r[0] for r in new))
+            self._wait(min(r[1] for r in new))
         return iter(())
 
     def _wait(self, ms: int) -> None:
@@ -108,19 +122,21 @@ class Sorted(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         rows = sorted(tuple(r) for r in self.waiting.get())
-        ready, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        ready, rest = [r for r in rows if r[1] <= now], [r for r in rows if r[1] > now]
         self.waiting.clear()
         if rest:
             self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0])
-        n, before, total = self.given.get() if self.given.exists() else (0, None, 0.0)
-        out = []
-        for ms, event_id, value in ready:
-            n, total = n + 1, total + value
-            out.append((event_id, n, None if before is None else ms - before, total))
-            before = ms
+            self.handle.registerTimer(min(r[1] for r in rest))
+        given = {k[0]: tuple(v) for k, v in self.given.iterator()} if ready else {}
+        out, changed = [], set()
+        for user, ms, event_id, value in ready:
+            n, before, total = given.get(user, (0, None, 0.0))
+            given[user] = (n + 1, ms, total + value)
+            out.append((event_id, n + 1, None if before is None else ms - before, total + value))
+            changed.add(user)
+        for user in changed:
+            self.given.updateValue((user,), given[user])
         if out:
-            self.given.update((n, before, total))
             frame = pd.DataFrame(out, columns=["event_id", "nth", "since", "total"])
             yield frame.astype({"since": "Int64"})
 
@@ -129,21 +145,19 @@ class Sorted(StatefulProcessor):
 
 
 class Newcomers(StatefulProcessor):
-    """The first row of each kind for a key, with state that expires a day after it was written."""
+    """The first row of each kind for each of a group of users, with state that expires a day after it was written."""
 
     def init(self, handle) -> None:
-        self.seen = handle.getMapState("seen", "kind string", "n long", 86_400_000)
+        self.seen = handle.getMapState("seen", "user long, kind string", "n long", 86_400_000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = []
-        for part in rows:
-            for kind in part["event_type"]:
-                if self.seen.containsKey((kind,)):
-                    continue
-                self.seen.updateValue((kind,), (1,))
-                fresh.append(kind)
+        seen = {tuple(k) for k in self.seen.keys()}  # noqa: SIM118
+        kinds = dict.fromkeys(r for part in rows for r in zip(_users(part), part["event_type"].tolist(), strict=True))
+        fresh = [r for r in kinds if r not in seen]
+        for r in fresh:
+            self.seen.updateValue(r, (1,))
         if fresh:
-            yield pd.DataFrame({"user_id": [key[0]] * len(fresh), "event_type": fresh})
+            yield pd.DataFrame({"user_id": pd.array([r[0] for r in fresh], "Int64"), "event_type": [r[1] for r in fresh]})
 
     def close(self) -> None:
         pass
@@ -166,6 +180,11 @@ class Totals(StatefulProcessor):
         pass
 
 
+def _grouped(rows: DataFrame):
+    """``rows`` by groups of up to USERS users; their number grows with that of the users, so a group's state doesn't."""
+    return rows.withColumn("users", F.shiftright("user_id", USERS.bit_length() - 1)).groupBy("users")
+
+
 def _timed(t: Tables) -> DataFrame:
     return stream(t).withWatermark("ts", f"{LATE_MS} milliseconds").withColumn("ms", F.unix_millis("ts"))
 
@@ -181,7 +200,7 @@ WHERE last_ms + 1800000 <= {_END}""")
 def stream_timer_sessions(t: Tables) -> DataFrame:
     """Sessions that a processor of our own ends by event-time timers; the twin leaves out those that are open at the end."""
     with rocksdb(t.spark):
-        out = _timed(t).select("user_id", "ts", "ms").groupBy("user_id").transformWithStateInPandas(Sessions(), "user_id long, first_ms long, n long", "Append", "EventTime")
+        out = _grouped(_timed(t).select("user_id", "ts", "ms")).transformWithStateInPandas(Sessions(), "user_id long, first_ms long, n long", "Append", "EventTime")
         return run(out)
 
 
@@ -191,7 +210,7 @@ def stream_analytic(t: Tables) -> DataFrame:
     """Row number, lag and running sum of each user's events on a stream, from a buffer that the watermark empties in order."""
     with rocksdb(t.spark):
         rows = _timed(t).select("user_id", "ts", "ms", "event_id", "value")
-        out = rows.groupBy("user_id").transformWithStateInPandas(Sorted(), "event_id long, nth long, since long, total double", "Append", "EventTime")
+        out = _grouped(rows).transformWithStateInPandas(Sorted(), "event_id long, nth long, since long, total double", "Append", "EventTime")
         return run(out).withColumn("total", F.round("total", 6))
 
 
@@ -199,7 +218,7 @@ def stream_analytic(t: Tables) -> DataFrame:
 def stream_expiring_state(t: Tables) -> DataFrame:
     """The first event of each kind of each user, from state with a time to live."""
     with rocksdb(t.spark):
-        out = stream(t).select("user_id", "event_type").groupBy("user_id").transformWithStateInPandas(Newcomers(), "user_id long, event_type string", "Append", "ProcessingTime")
+        out = _grouped(stream(t).select("user_id", "event_type")).transformWithStateInPandas(Newcomers(), "user_id long, event_type string", "Append", "ProcessingTime")
         path = scratch(t.spark)
         # processing time never ends, so an available-now run would go on for ever; one batch reads all files
         q = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(t.spark)).trigger(once=True).start()

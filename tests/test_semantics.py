@@ -10,6 +10,7 @@ from marlstone.operators import joins
 from marlstone.operators.joins import as_of, range_join
 from marlstone.plans.catalog import QUERIES
 from marlstone.session import Tables
+from marlstone.streaming import stateful
 from marlstone.streaming.events import run, stream
 
 
@@ -91,3 +92,17 @@ def test_right_join_of_a_crowded_key(spark, monkeypatch):
     want = left.join(right, F.col("k") == F.col("j"), "right")
     assert out.columns == want.columns and sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
     assert max(out.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < out.count() / 4
+
+
+@pytest.mark.parametrize("name", ["stream_timer_sessions", "stream_expiring_state", "stream_analytic"])
+def test_streams_of_users_that_share_a_call(spark, tmp_path, name):
+    """Users of one group, of several, with negative ids and without one keep apart; a processor is called once for a group."""
+    users, start = [None, -70, -1, 0, 1, 63, 64, 700], dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(minutes=7 * i + 40 * (i % 5)), users[i * i % 11 % 8], "abc"[i % 3], i / 4) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/rows")
+    twin = duckdb.connect()
+    twin.execute(f"copy (from '{tmp_path}/rows/*.parquet') to '{tmp_path}/events.parquet' (format parquet)")
+    twin.execute(f"create view events as from '{tmp_path}/events.parquet'")
+    out = QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, twin.sql(f"select {', '.join(out.columns)} from ({QUERIES[name].oracle})").fetchall()))
+    assert stateful.USERS >= 64
