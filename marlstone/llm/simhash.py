@@ -209,6 +209,8 @@ STEEP = 2
 APART = 24
 #: Up to so many classes of one key are compared pair by pair; beyond, with the least of them, and what that leaves apart by the rarest shingles.
 PAIRED = 16
+#: Bits in which the parities of two sets' elements are compared before the sets are, in numbers of 64.
+PARITIES = 512
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -226,6 +228,12 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((h(line[i:j], 42) for i, j in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)), np.uint64, n - words + 1))
 
 
+def parities(held: np.ndarray) -> np.ndarray:
+    """PARITIES bits of a set of 32-bit numbers: how many of its elements fall on each, modulo 2. Where two sets differ in a bit they differ in an element, so they never differ in more bits than elements."""
+    at = (held.view(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARITIES.bit_length() + 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
 def _turned(h: np.ndarray, k: int) -> np.ndarray:
     """Another hash of each hash, the ``k``-th."""
     h = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -336,13 +344,19 @@ def _prefixes(held: DataFrame, similarity: float) -> DataFrame:
 
 
 def _apart(similarity: float) -> Column:
-    """Whether two sets with an element in common, at their places ``at`` and ``at_b``, belong to different roots and may be similar if it is the first they share."""
+    """Whether two sets with an element in common, at their places ``at`` and ``at_b``, belong to different roots and may be similar if it is the first they share.
+
+    Their parities bound the number of elements that only one of them has from below,
+    so near misses are told here, before pairs are made; no similar pair is lost.
+    """
     needed = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("n_b")) - 1e-9)
-    return (F.col("root") != F.col("root_b")) & (F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= needed)
+    differ = sum((F.bit_count(F.col("parities")[k].bitwiseXOR(F.col("parities_b")[k])) for k in range(1, PARITIES // 64)), F.bit_count(F.col("parities")[0].bitwiseXOR(F.col("parities_b")[0])))
+    placed = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= needed
+    return (F.col("root") != F.col("root_b")) & placed & (differ <= F.col("n") + F.col("n_b") - 2 * needed)
 
 
 def rest(crowd: DataFrame, links: DataFrame, held_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Links (a, b) that connect all similar members of crowded keys (key, id) that ``links`` leaves apart, with ``links``.
+    """Links (a, b) that connect all similar members of crowded keys (key, id) that ``links`` leaves apart, with ``links``; ``held_of`` gives (id, held, parities) of ids.
 
     Keys whose members are connected need no more. Of the others, sets of different
     roots that share one of their rarest elements are compared. An element's members of
@@ -364,7 +378,8 @@ def rest(crowd: DataFrame, links: DataFrame, held_of: Callable[[DataFrame], Data
     counted = rows.groupBy("token", "root").agg(F.count("*").alias("sets"))
     most = counted.groupBy("token").agg(F.max(F.struct("sets", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     most = bounded(staged(most.select("token", F.col("most.root").alias("main")), "main_roots"))
-    other = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "root")])
+    rows = rows.join(held.select("id", "parities"), "id")
+    other = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "root", "parities")])
     both = rows.join(most, "token").where("root <> main").join(other, "token")
     both = both.where(_apart(similarity) & ((F.col("root_b") == F.col("main")) | (F.col("id") < F.col("id_b"))))
     pairs = staged(both.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), "open_pairs")
@@ -393,18 +408,18 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     rows = staged(slim.mapInArrow(work, "doc_id long, text_hash long, lo long, hi long, fp long, n long").withColumn("id", F.xxhash64("lo", "hi", "fp", "n")), "fingerprints")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_hash"))
     classes = staged(rows.groupBy("id", "lo", "hi", "fp", "n").agg(least.alias("first"), F.min("doc_id").alias("first_id")), "classes")
-    sets = pa.schema([("id", pa.int64()), ("held", pa.list_(pa.int32()))])
+    sets = pa.schema([("id", pa.int64()), ("held", pa.list_(pa.int32())), ("parities", pa.list_(pa.int64()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [np.unique(shingles(t.as_py(), words).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32()))], schema=sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32())), pa.array([parities(x) for x in held], pa.list_(pa.int64()))], schema=sets)
 
     def held_of(ids: DataFrame) -> DataFrame:
         wanted = bounded(staged(classes.join(ids, "id").select("id", "first.*"), "candidate_documents"))
         key = (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == wanted["doc"]) & (slim["text_hash"] == wanted["text_hash"])
         texts = slim.join(wanted, key).select("id", "text")
-        return staged(texts.mapInArrow(hashed, "id long, held array<int>").dropDuplicates(["id"]), "candidate_shingles")
+        return staged(texts.mapInArrow(hashed, "id long, held array<int>, parities array<long>").dropDuplicates(["id"]), "candidate_shingles")
 
     found, crowd = candidates(classes, similarity)
     pairs = staged(found, "candidates")

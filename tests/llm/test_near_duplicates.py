@@ -140,6 +140,31 @@ def test_crowded_keys_lose_no_link(make, words, monkeypatch, seed):
     assert got == plain_components(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
 
 
+def test_near_misses_of_a_crowded_key_make_few_pairs(make, words, monkeypatch):
+    """Variants of one text, most of them no more than near misses of each other: few are compared by their shingles, and no link is lost."""
+    from random import Random
+
+    made, linked = [], simhash._linked
+    monkeypatch.setattr(simhash, "PAIRED", 2)
+    monkeypatch.setattr(simhash, "_linked", lambda pairs, held, similarity: (made.append(pairs.count()), linked(pairs, held, similarity))[1])
+    rng, hub = Random(9), words(150, 79)
+    texts = [edited(rng, hub, rng.randint(2, 6)) for _ in range(120)]
+    near = {(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(make(texts)).collect()}
+    assert got == plain_components(range(len(texts)), lambda a, b: (max(a, b), min(a, b)) in near)
+    assert len(made) == 2 and made[1] <= 3 * len(near) + 100, (made, len(near))
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 30, 3000):
+        held = np.unique(rng.integers(-(2**31), 2**31, n, dtype=np.int64)).astype(np.int32)
+        other = np.unique(np.concatenate([held[n // 10 :], rng.integers(-(2**31), 2**31, n // 10, dtype=np.int64).astype(np.int32)]))
+        bits = sum(int(x).bit_count() for x in (simhash.parities(held) ^ simhash.parities(other)).view(np.uint64))
+        assert len(simhash.parities(held)) == simhash.PARITIES // 64 and bits <= len(np.setxor1d(held, other))
+        assert n > 1000 or bits >= 0.8 * len(np.setxor1d(held, other))
+
+
 def test_one_of_each_with_clashing_columns(make, words):
     clashing = ("dedup_id", "dedup_hash", "_kept_id", "kept_id", "kept_hash", "group", "component_id", "text_hash", "id", "fp")
     docs = make([words(90, 1), words(90, 1) + " x", None, ""]).select("*", *[F.lit(c).alias(c) for c in clashing])
