@@ -301,8 +301,12 @@ def join_as_of_nulls(t: Tables) -> DataFrame:
 
 @query("""SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)""")
 def join_lateral(t: Tables) -> DataFrame:
-    """The dearest order of each customer, nulls last."""
-    return sql(t.spark, t.sf_dir, "SELECT c_custkey, o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST LIMIT 1)", "customer", "orders")
+    """The dearest order of each customer, nulls last.
+
+    The lateral table selects the price that it is ordered by: without it the engine numbers
+    a customer's rows as a shuffle happens to bring them, after a sort that binds nothing.
+    """
+    return sql(t.spark, t.sf_dir, "SELECT c_custkey, o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST LIMIT 1)", "customer", "orders")
 
 
 @query("""SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")

@@ -84,6 +84,13 @@ def test_lateral_join_puts_nulls_last(spark, tmp_path):
     assert got == set(twin.sql(QUERIES["join_lateral"].oracle).fetchall()) == {(1, 7), (2, None)}
 
 
+def test_lateral_join_orders_the_rows_that_it_numbers(spark, sf_dir):
+    """A sort before the shuffle binds nothing: executors fetch its blocks in any order, which a local session doesn't show."""
+    plan = QUERIES["join_lateral"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    numbered = [x for x in plan.splitlines() if "row_number()" in x]
+    assert numbered and all("o_totalprice" in x and "o_orderkey" in x for x in numbered)
+
+
 def test_right_join_of_a_crowded_key(spark, monkeypatch):
     monkeypatch.setattr(joins, "TASK_PAIRS", 100)
     left = spark.createDataFrame([(i, None if i % 9 == 0 else i % 3) for i in range(60)], "a int, k int")
